@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, shard_pack, token_store, url_rules
+from . import decontaminate, fingerprint, mixing, shard_pack, token_store, toxicity, url_rules
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,8 @@ QUERIES = {
         shard_pack.op3_shard_packing,
         mixing.op7_source_mixing,
         url_rules.op8_url_filter,
+        toxicity.op9_toxicity,
+        fingerprint.op10_fingerprint,
     )
 }
 
