@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, mixing, shard_pack, token_store, toxicity, url_rules
+from . import decontaminate, fingerprint, mixing, near_dedup, shard_pack, token_store, toxicity, url_rules
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         token_store.op1_token_store,
         decontaminate.op2_decontamination,
         shard_pack.op3_shard_packing,
+        near_dedup.op4_near_dedup,
         mixing.op7_source_mixing,
         url_rules.op8_url_filter,
         toxicity.op9_toxicity,
