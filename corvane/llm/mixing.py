@@ -43,9 +43,8 @@ def targets_of(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame
     return s.select("source", "source_size", "weight", F.when(F.col("t").isNull() | (F.col("ratio") < F.col("t")), F.col("cap")).otherwise(F.col("weight") * F.col("t")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7, weight_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, copies, taken and the columns in keep."""
-    keep = [c for c in keep or [] if c not in ("doc_id", "source")]
+def _mix(docs: DataFrame, weights, most: int, seed: int, weight_col: str | None, keep: list[str]) -> DataFrame:
+    """With the columns in keep as k_<name>."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
     own = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
     rows = docs.select("doc_id", "source", words_of("text").alias("_size"), u.alias("_u"), own.alias("_own"), *[F.col(c).alias(f"k_{c}") for c in keep])
@@ -86,7 +85,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7, weigh
     schema = r.withColumn("more", F.lit(0)).schema
     at_cut = r.where("bucket = at").groupBy("source").applyInPandas(fill, schema)
     out = sure.unionByName(at_cut).withColumn("copies", F.col("whole") + F.col("more"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *[F.col(f"k_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *kept)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7, weight_col: str | None = None) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, copies, taken."""
+    return _mix(docs, weights, most, seed, weight_col, [])
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 7, weight_col: str | None = None) -> DataFrame:
+    """The documents that the mix takes, with all their columns, each as often as it is taken."""
+    out = _mix(docs, weights, most, seed, weight_col, docs.columns).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

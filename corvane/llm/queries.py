@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, mixing, near_dedup, repeats, shard_pack, token_store, toxicity, url_rules
+from . import decontaminate, fingerprint, mixing, near_dedup, repeats, shard_pack, token_counts, token_store, toxicity, url_rules
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         decontaminate.op2_decontamination,
         shard_pack.op3_shard_packing,
         near_dedup.op4_near_dedup,
+        token_counts.op5_token_counts,
         repeats.op6_repeated_passages,
         mixing.op7_source_mixing,
         url_rules.op8_url_filter,
