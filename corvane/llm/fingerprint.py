@@ -70,7 +70,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(keys: DataFrame) -> DataFrame:
-    """keys(k, h, n): distinct, with nk, nh: the next in order of (k, h), after the last the first. Staged."""
+    """keys(k, h, ...): distinct, with nk, nh: the next in order of (k, h), after the last the first. Staged."""
     ranged = stage(keys.repartitionByRange("k", "h").withColumn("part", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("part").orderBy("k", "h")
     firsts = ranged.groupBy("part").agg(F.min(F.struct("k", "h")).alias("first"))
@@ -78,7 +78,7 @@ def with_next(keys: DataFrame) -> DataFrame:
     firsts = firsts.withColumn("after", F.coalesce(F.lead("first").over(across), F.min("first").over(Window.partitionBy()))).select("part", "after")
     led = ranged.withColumn("next", F.lead(F.struct("k", "h")).over(inner)).join(firsts, "part")
     led = led.withColumn("next", F.coalesce("next", "after"))
-    return stage(led.select("k", "h", "n", F.col("next.k").alias("nk"), F.col("next.h").alias("nh")), "order")
+    return stage(led.select(*keys.columns, F.col("next.k").alias("nk"), F.col("next.h").alias("nh")), "order")
 
 
 def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -88,27 +88,30 @@ def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFr
     lexicon = F.broadcast(lexicon) if lexicon.count() <= BROADCAST_TERMS else lexicon
     lowest = -(1 << 63)
     keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(lowest))).withColumn("h", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    order = with_next(keyed.select("k", "h", F.length("text").alias("n")).groupBy("k", "h").agg(F.first("n").alias("n")))
-    rows = keyed.groupBy("k", "h").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    order = with_next(keyed.select("k", "h", F.length("text").alias("n")).groupBy("k", "h").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    # Used three times with the same columns (doc_id is carried along for that), so that its exchange is made once.
+    rows = keyed.groupBy("k", "h").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
     # what each document gives to the one before it, cut to what that one takes
-    taken = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("pk"), F.col("h").alias("ph"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    given = rows.select("k", "h", "text").join(taken, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("take"), F.expr("left(text, take)").alias("given"))
+    taken = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("pk"), F.col("h").alias("ph"), F.floor(F.col("n") / 4).cast("int").alias("take"), "copies")
+    given = rows.join(taken, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), "take", "copies", F.expr("left(text, take)").alias("given"), F.col("doc_id").alias("next_doc_id"))
     full = rows.join(given, ["k", "h"]).withColumn("n_chars", F.length("text").cast("long"))
     head = F.expr("left(text, cast(n_chars as int) - take)")
     # equal rows follow each other: all but the last of them take from their own text
     own = F.when(F.col("copies") > 1, F.concat(head, F.expr("left(text, take)")))
     full = full.withColumn("edited", F.concat(head, "given")).withColumn("own", own)
     versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")), F.struct(F.lit(2).alias("v"), F.col("own").alias("t")))
-    words = full.select("k", "h", F.explode(versions).alias("x")).where("x.t IS NOT NULL").select("k", "h", F.col("x.v").alias("v"), F.explode(terms(F.col("x.t"))).alias("term"))
+    words = full.select("k", "h", "doc_id", "next_doc_id", F.explode(versions).alias("x")).where("x.t IS NOT NULL")
+    words = words.select("k", "h", "doc_id", "next_doc_id", F.col("x.v").alias("v"), F.explode(terms(F.col("x.t"))).alias("term"))
     found = words.join(lexicon, "term").groupBy("k", "h").agg(
-        *[F.collect_set(F.when(F.col("v") == v, F.struct("term", "mask"))).alias(f"s{v}") for v in range(3)]
+        F.first("doc_id").alias("d"), F.first("next_doc_id").alias("nd"), *[F.collect_set(F.when(F.col("v") == v, F.struct("term", "mask"))).alias(f"s{v}") for v in range(3)]
     )
     none = F.array().cast("array<struct<term:string,mask:int>>")
     base = full.join(found, ["k", "h"], "left").select(
-        "k", "h", "doc_id", "copies", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
+        "k", "h", "doc_id", "next_doc_id", "d", "nd", "copies", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
         F.sha2(F.col("own").cast("binary"), 256).alias("own_sha"), *[F.sort_array(F.coalesce(F.col(f"s{v}"), none)).alias(f"o{v}") for v in range(3)],
     )
     base = base.select("*", _hashes(F.col("o0")).alias("fp"), _hashes(F.col("o1")).alias("efp"), F.when(F.col("copies") > 1, _hashes(F.col("o2"))).alias("ofp")).drop("o0", "o1", "o2")
+    base = base.withColumn("next_doc_id", F.coalesce("next_doc_id", "nd")).withColumn("doc_id", F.coalesce("doc_id", "d")).drop("d", "nd")
     for p, sha in (("fp", "text_sha"), ("efp", "sha"), ("ofp", "own_sha")):
         base = base.withColumn(p, F.when(F.col(p) == EMPTY, F.col(sha)).otherwise(F.col(p)))
     base = stage(base, "prints")
@@ -119,7 +122,7 @@ def fingerprint(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFr
     efp, nfp = F.when(last, F.col("efp")).otherwise(F.col("ofp")), F.when(last, F.col("nfp")).otherwise(F.col("fp"))
     return out.select(
         "doc_id", "n_chars", F.when(last, F.col("sha")).otherwise(F.col("own_sha")).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
-        efp.alias("edited_fingerprint"), likeness(F.col("fp"), efp).alias("near_edited"), likeness(F.col("fp"), nfp).alias("near_next"),
+        efp.alias("edited_fingerprint"), likeness(F.col("fp"), efp).alias("near_edited"), likeness(F.col("fp"), nfp).alias("near_next"), F.when(last, F.col("next_doc_id")).otherwise(F.col("doc_id")).alias("next_doc_id"),
     )
 
 
