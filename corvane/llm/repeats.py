@@ -8,7 +8,8 @@ A byte is removed if a string of LENGTH (50) bytes that covers it also starts in
    to hash ranges, which answer which of them other batches have too.
 3. Around each anchor that several documents have, the bytes that its windows can reach (at most 26 before, 50 from it)
    form a context. Each batch sends its distinct contexts with the smallest doc_id that has them to hash ranges.
-4. There equal contexts are merged, and over the distinct ones of some anchors at a time (INDEX bytes, or one anchor's) a
+4. There equal contexts are merged, those that can't share a window with another (none has the same 13 bytes before or
+   after the anchor) are set aside, and over the others of some anchors at a time (INDEX bytes, or one anchor's) a
    run-length compressed Burrows-Wheeler transform is built: run heads, run starts, symbol counts before each run, and
    suffix-array samples at run ends. Longest common prefixes are compared at run heads only and counted on along
    LF steps. All contexts are streamed through the index by LF steps, from their end; the matching statistic of each
@@ -41,9 +42,10 @@ from .token_store import mix64
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and windows around a gram
+HALF = (LENGTH - GRAM) // 2
 BATCH, INDEX = 3 << 20, 1 << 20
 SEGMENT = 1 << 19
-RANGE_BYTES = 24 << 20
+RANGE_BYTES, CONTEXT_RANGE_BYTES = 24 << 20, 6 << 20
 U = np.uint64
 _G = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 _LOWEST = -(1 << 63)
@@ -113,22 +115,37 @@ def anchors(a: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---- the index ------------------------------------------------------------------------------------------------------
-def suffix_order(s: np.ndarray) -> np.ndarray:
-    """Suffix array of s by prefix doubling; every terminator in s is a symbol of its own, so suffixes differ soon."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    k = 1
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling, from seven symbols (0 to 256) packed into a word. Symbol 0 ends a string; it is
+    smaller than the others, and an earlier one is smaller than a later one, so suffixes differ at the first at latest."""
+    n = len(symbols)
+    key, live = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(7):
+        here = np.zeros(n, np.int64)
+        here[: n - j] = symbols[j:]
+        key = (key << 9) | np.where(live, here, 0)
+        live &= here > 0
+    # a key with an end in it is the suffix's own: of equal ones the earlier suffix comes first
+    order = np.argsort(key, kind="stable")
+    ordered, own = key[order], ~live[order]
+    fresh = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | own[1:]])
+    k = 7
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank, k = new, 2 * k
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh) - 1
         if rank[order[-1]] == n - 1:
             return order
+        # only runs of equal ranks are sorted again; each stays within its rows
+        alone = fresh & np.append(fresh[1:], True)
+        rows = np.flatnonzero(~alone)
+        at = order[rows]
+        far = np.minimum(at + k, n - 1)
+        again = rank[at] * np.int64(n) + rank[far]
+        by = np.argsort(again)
+        order[rows] = at[by]
+        again = again[by]
+        fresh[rows] = np.concatenate([[True], again[1:] != again[:-1]])
+        k *= 2
 
 
 class RunIndex:
@@ -143,14 +160,12 @@ class RunIndex:
         #: Where each string starts in the text with terminators.
         self.starts, self.sizes = starts + np.arange(m), sizes
         n = len(strings) + m
-        text = np.empty(n, np.int64)
         stops = self.starts + sizes
         inside = np.ones(n, bool)
         inside[stops] = False
-        text[inside] = strings.astype(np.int64) + m
-        text[stops] = np.arange(m)
-        order = suffix_order(text)
-        symbols = np.where(text >= m, text - m + 1, 0)  # terminators are one symbol here
+        symbols = np.zeros(n, np.int64)
+        symbols[inside] = strings.astype(np.int64) + 1
+        order = suffix_order(symbols)
         bwt = symbols[order - 1]
         heads = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         self.run_start = np.flatnonzero(heads)
@@ -166,56 +181,59 @@ class RunIndex:
         self.run_to = np.empty(len(by), np.int64)
         self.run_to[by] = before + smaller[self.run_symbol[by]]
         self.n, self.m = n, m
-        # LCP >= LENGTH with the row above: compared after run heads, counted on elsewhere
-        self.rows_of_last = np.arange(m)  # the i-th terminator's suffix is row i
-        self._same = self._matching(text, order, heads)
+        #: Run of each row, expanded while strings are streamed; a stored index would search run_start.
+        self._run_of = np.repeat(np.arange(len(by)), lengths)
+        self._walk = self._stream()
+        self._same = self._matching(symbols, order, heads)
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """LF: rows of the suffixes one symbol longer."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
+        run = self._run_of[rows]
         return self.run_to[run] + rows - self.run_start[run]
 
-    def _matching(self, text, order, heads) -> np.ndarray:
-        """For each row: do its first LENGTH bytes equal those of the row above?"""
-        lcp = np.zeros(self.n, np.int16)
-        rows, value = self.rows_of_last.copy(), np.zeros(self.m, np.int64)
-        live = np.arange(self.m)
+    def _stream(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All strings from their ends, a byte a step: those that still have one, and the rows of their suffixes. The i-th
+        terminator's suffix is row i."""
+        out = []
+        live = rows = np.arange(self.m)
         for d in range(int(self.sizes.max(initial=0))):
             keep = self.sizes[live] > d
-            live, rows, value = live[keep], rows[keep], value[keep]
-            head = heads[rows]
-            rows = self.step(rows)
-            value = np.where(head, 0, value + 1)
-            at = np.flatnonzero(head & (rows > 0))
-            a, b = order[rows[at]], order[rows[at] - 1]
+            live, rows = live[keep], self.step(rows[keep])
+            out.append((live, rows))
+        return out
+
+    def _matching(self, symbols, order, heads) -> np.ndarray:
+        """For each row: do its first LENGTH bytes equal those of the row above?"""
+        lcp = np.zeros(self.n, np.int16)
+        value, above = np.zeros(self.m, np.int64), np.arange(self.m)
+        for live, rows in self._walk:
+            head = heads[above[live]]
+            value[live] = np.where(head, 0, value[live] + 1)
+            above[live] = rows
+            own = np.flatnonzero(head & (rows > 0))
+            at, a, b = live[own], order[rows[own]], order[rows[own] - 1]
             for j in range(LENGTH):  # irreducible values: compared up to LENGTH
                 if not len(at):
                     break
-                same = text[np.minimum(a + j, self.n - 1)] == text[np.minimum(b + j, self.n - 1)]
-                same &= (a + j < self.n) & (b + j < self.n)
+                x = symbols[np.minimum(a + j, self.n - 1)]
+                same = (x == symbols[np.minimum(b + j, self.n - 1)]) & (x > 0)
                 value[at[~same]] = j
                 at, a, b = at[same], a[same], b[same]
             value[at] = LENGTH
-            lcp[rows] = np.minimum(value, LENGTH)
+            lcp[rows] = np.minimum(value[live], LENGTH)
         return lcp >= LENGTH
 
     def least_by_window(self, owner: np.ndarray, windows: int) -> np.ndarray:
         """strings x windows: the smallest owner among strings that hold the same LENGTH bytes as this string does from
-        that offset on. Streams each string through the index from its end."""
+        that offset on."""
         interval = np.cumsum(~self._same) - 1
         least = np.full(interval[-1] + 1, np.iinfo(np.int64).max)
         out = np.full((self.m, windows), np.iinfo(np.int64).max)
-        for write in (False, True):
-            rows, live = self.rows_of_last.copy(), np.arange(self.m)
-            for d in range(1, int(self.sizes.max(initial=0)) + 1):
-                keep = self.sizes[live] >= d
-                live, rows = live[keep], self.step(rows[keep])
-                if d < LENGTH:
-                    continue
-                if write:
-                    out[live, self.sizes[live] - d] = least[interval[rows]]
-                else:
-                    np.minimum.at(least, interval[rows], owner[live])
+        deep = list(enumerate(self._walk[LENGTH - 1 :], LENGTH))
+        for _, (live, rows) in deep:
+            np.minimum.at(least, interval[rows], owner[live])
+        for d, (live, rows) in deep:
+            out[live, self.sizes[live] - d] = least[interval[rows]]
         return out
 
 
@@ -270,8 +288,9 @@ class _Batch:
         return out
 
     def contexts(self, shared: np.ndarray):
-        """Distinct contexts of anchors with shared hashes: hash, bytes (padded to SPAN - 1 + LENGTH), bytes before the
-        anchor, bytes from it; smallest doc_id; and for every such anchor its context, in order of position."""
+        """Distinct contexts of anchors with shared hashes, in order of hash: number of bytes before the anchor and from it,
+        and the bytes, padded to SPAN - 1 before and LENGTH from it. With each the hash and the smallest doc_id; and for
+        every such anchor, in order of position, its place in anchors, its context and its bytes before."""
         pick = np.flatnonzero(shared[self.which])
         at, doc = self.at[pick], self.doc[pick]
         starts = np.concatenate([[0], self.ends[:-1]])[doc]
@@ -281,32 +300,51 @@ class _Batch:
         rows = self.bytes[np.clip(grid, 0, len(self.bytes) - 1)] if len(at) else np.zeros((0, SPAN - 1 + LENGTH), np.uint8)
         col = np.arange(SPAN - 1 + LENGTH)
         rows[(col < (SPAN - 1 - left)[:, None]) | (col >= (SPAN - 1 + right)[:, None])] = 0
-        full = np.concatenate([self.hash[pick].astype(">u8").view(np.uint8).reshape(-1, 8), left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None], rows], axis=1)
-        _, first, which = np.unique(_void_keys(full), return_index=True, return_inverse=True)
+        full = np.concatenate([left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None], rows], axis=1)
+        first, which = distinct_rows(full)
         order = np.lexsort((first, self.hash[pick][first]))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, back[which], self.ids[doc])
-        return full[first[order]], least, pick, back[which], left
+        return full[first[order]], self.hash[pick][first[order]], least, pick, back[which], left
+
 
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, padded with zeros."""
+    wide = np.zeros((len(rows), rows.shape[1] + -rows.shape[1] % 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(np.uint64)
 
-def _void_keys(full: np.ndarray) -> np.ndarray:
-    """A 128-bit digest of each row as a complex pair of words, for np.unique (a collision would need 2^64 rows)."""
-    n = full.shape[1] + -full.shape[1] % 8
-    wide = np.zeros((len(full), n), np.uint8)
-    wide[:, : full.shape[1]] = full
-    words = wide.view(np.uint64)
-    a, b = np.zeros(len(full), np.uint64), np.full(len(full), U(0x27D4EB2F165667C5))
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    out, words = np.full(len(rows), _G[0]), _words(rows)
     for j in range(words.shape[1]):
-        a = mix64(a ^ words[:, j])
-        b = mix64(b + words[:, j] * U(0x9FB21C651E98DF25))
-    out = np.empty(len(full), [("a", np.uint64), ("b", np.uint64)])
-    out["a"], out["b"] = a, b
+        out = mix64(out ^ words[:, j])
     return out
 
 
-CONTEXT = 10 + SPAN - 1 + LENGTH
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First occurrence of each distinct row, and each row's place among them; by hash, and checked byte by byte."""
+    _, first, which = np.unique(row_hashes(rows), return_index=True, return_inverse=True)
+    if not np.array_equal(rows[first][which], rows):
+        _, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first, which
+
+
+def _is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+CONTEXT = 2 + SPAN - 1 + LENGTH
+ALL_WINDOWS = np.uint32((1 << SPAN) - 1)
+
+
+def anchor_hashes(contexts: np.ndarray) -> np.ndarray:
+    words = _words(contexts[:, 2 + SPAN - 1 : 2 + SPAN - 1 + GRAM])
+    return mix64(words[:, 0] * _G[0] + words[:, 1] * _G[1] + words[:, 2] * _G[2])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -319,6 +357,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     held = spark.table(name)
     bits = min(64, max(32, math.ceil(math.log2(max(2, total / 13))) + 14))
     ranges = max(min(parts, 1 + total // (1 << 20)), total // RANGE_BYTES + 1)
+    fine = max(ranges, total // CONTEXT_RANGE_BYTES + 1)
 
     def make_hashes():
         def run(batch: pa.RecordBatch) -> dict:
@@ -339,7 +378,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         lists = [unpack_sorted(bytes(d)) for d in pdf["data"]]
         every = np.sort(np.concatenate(lists))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        return pd.DataFrame({"r": pdf["r"], "b": pdf["b"], "bits": [zstandard.compress(np.packbits(np.isin(x, twice, assume_unique=True)).tobytes()) for x in lists]})
+        return pd.DataFrame({"r": pdf["r"], "b": pdf["b"], "bits": [zstandard.compress(np.packbits(_is_in(x, twice)).tobytes()) for x in lists]})
 
     hashes = map_batches(held, make_hashes, "r int, b long, data binary", 1)
     known = stage(hashes.groupBy("r").applyInPandas(answer, "r int, b long, bits binary"), "shared")
@@ -357,13 +396,12 @@ def repeated(docs: DataFrame) -> DataFrame:
             out: dict = {"r": [], "b": [], "data": [], "least": []}
             for b, ids, lens, data, answers in zip(*(batch.column(c).to_pylist() for c in ("b", "ids", "lens", "data", "answers")), strict=True):
                 x = _Batch(ids, lens, data, bits, ranges)
-                full, least, *_ = x.contexts(shared_of(x, answers))
-                r = _range_of(full, ranges)
-                cuts = np.searchsorted(r, np.arange(ranges + 1))
-                for k in range(ranges):
+                full, hashes, least, *_ = x.contexts(shared_of(x, answers))
+                cuts = np.searchsorted(_range_of(hashes, fine), np.arange(fine + 1))
+                for k in range(fine):
                     lo, hi = cuts[k], cuts[k + 1]
                     if hi > lo:
-                        for col, v in zip(out, (k, b, zstandard.compress(full[lo:hi].tobytes(), 1), pack(least[lo:hi])), strict=True):
+                        for col, v in zip(out, (k, b, zstandard.compress(full[lo:hi].tobytes(), 3), pack(least[lo:hi])), strict=True):
                             out[col].append(v)
             return out
 
@@ -378,7 +416,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             out: dict = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
             for ids, lens, data, answers, masks in zip(*(batch.column(c).to_pylist() for c in ("ids", "lens", "data", "answers", "masks")), strict=True):
                 x = _Batch(ids, lens, data, bits, ranges)
-                _, least, pick, which, left = x.contexts(shared_of(x, answers))
+                _, _, least, pick, which, left = x.contexts(shared_of(x, answers))
                 mask = np.concatenate([unpack(m["masks"], np.uint32) for m in masks]) if masks else np.zeros(0, np.uint32)
                 marks = np.zeros(len(x.bytes) + 1, np.int64)
                 at, doc = x.at[pick], x.doc[pick]
@@ -405,53 +443,60 @@ def repeated(docs: DataFrame) -> DataFrame:
     return map_batches(full, make_result, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string", 1)
 
 
-def _range_of(full: np.ndarray, ranges: int) -> np.ndarray:
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """Hash range of each context, by the top 32 bits of its anchor's hash."""
-    top = full[:, :4].copy().view(">u4").reshape(-1).astype(np.uint64)
-    return ((top * U(ranges)) >> U(32)).astype(np.int64)
+    return (((hashes >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
+
+
+def _seen_twice(values: np.ndarray) -> np.ndarray:
+    _, which, n = np.unique(values, return_inverse=True, return_counts=True)
+    return n[which] > 1
 
 
 def judge(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each batch's contexts in a hash range: bits of the windows that a smaller doc_id than its smallest has."""
     blocks = [np.frombuffer(zstandard.decompress(bytes(d)), np.uint8).reshape(-1, CONTEXT) for d in pdf["data"]]
     least = [unpack(bytes(d), np.int64) for d in pdf["least"]]
-    sizes = [len(x) for x in least]
+    cuts = np.cumsum([0, *map(len, least)])
     full, least = np.concatenate(blocks), np.concatenate(least)
     del blocks
-    _, first, which = np.unique(_void_keys(full), return_index=True, return_inverse=True)
+    first, which = distinct_rows(full)
+    distinct = full[first]
+    del full
     owner = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, least)
-    distinct = full[first]
-    hashes = distinct[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    group = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    span = np.diff(np.append(group, len(order)))
-    windows = np.empty((len(first), SPAN), np.int64)
-    alone = np.repeat(span == 1, span)
-    windows[order[alone]] = owner[order[alone]][:, None]  # nothing else has the anchor
-    many = [(a, a + n) for a, n in zip(group[span > 1].tolist(), span[span > 1].tolist(), strict=True)]
-    i = 0
-    while i < len(many):
-        take, held = [], 0
-        while i < len(many) and (not take or held + (many[i][1] - many[i][0]) * CONTEXT <= INDEX):
-            take.append(order[many[i][0] : many[i][1]])
-            held += (many[i][1] - many[i][0]) * CONTEXT
-            i += 1
-        rows = np.concatenate(take)
-        windows[rows] = _windows(distinct[rows], owner[rows])
-    before = windows[which] < least[:, None]
-    bits = (before.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
-    cuts = np.cumsum([0, *sizes])
-    return pd.DataFrame({"r": pdf["r"], "b": pdf["b"], "masks": [pack(bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]})
+    bits = np.where(owner[which] < least, ALL_WINDOWS, np.uint32(0))
+    # A window has half of the bytes that it holds besides the anchor before it or after it. So contexts that share a
+    # window share the anchor with HALF bytes before or after; the others need no index.
+    at = 2 + SPAN - 1
+    before = row_hashes(distinct[:, at - HALF : at + GRAM])
+    after = row_hashes(distinct[:, at : at + GRAM + HALF])
+    some = np.flatnonzero((_seen_twice(before) & (distinct[:, 0] >= HALF)) | (_seen_twice(after) & (distinct[:, 1] >= GRAM + HALF)))
+    hashes = anchor_hashes(distinct[some])
+    some = some[np.argsort(hashes, kind="stable")]
+    hashes = np.sort(hashes)
+    ends = np.append(np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, len(some)) if len(some) else np.zeros(0, int)
+    place = np.full(len(first), -1)
+    a = 0
+    while a < len(some):
+        b = int(ends[max(np.searchsorted(ends, a, side="right"), np.searchsorted(ends, a + INDEX // CONTEXT, side="right") - 1)])
+        rows = some[a:b]
+        windows = _windows(distinct[rows], owner[rows])
+        place[rows] = np.arange(len(rows))
+        mine = np.flatnonzero(place[which] >= 0)
+        earlier = windows[place[which[mine]]] < least[mine][:, None]
+        bits[mine] = (earlier.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+        place[rows] = -1
+        a = b
+    return pd.DataFrame({"r": pdf["r"], "b": pdf["b"], "masks": [pack(bits[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]})
 
 
 def _windows(contexts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """contexts x SPAN: smallest owner of each window, by the index; owners' largest value where there is no window."""
-    left, right = contexts[:, 8].astype(np.int64), contexts[:, 9].astype(np.int64)
-    col = np.arange(CONTEXT - 10)
+    left, right = contexts[:, 0].astype(np.int64), contexts[:, 1].astype(np.int64)
+    col = np.arange(CONTEXT - 2)
     inside = (col >= (SPAN - 1 - left)[:, None]) & (col < (SPAN - 1 + right)[:, None])
-    strings = contexts[:, 10:][inside]
+    strings = contexts[:, 2:][inside]
     index = RunIndex(strings, np.cumsum(left + right))
     found = index.least_by_window(owner, SPAN + 1)
     out = np.full((len(contexts), SPAN), np.iinfo(np.int64).max)
