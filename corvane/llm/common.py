@@ -44,7 +44,7 @@ def bytes_of(text: Column | str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, most: int = 4 << 20) -> DataFrame:
     """mapInArrow with a function that is made once a task and turns a batch into columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -54,11 +54,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 got = f(part)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) if not isinstance(got[x.name], pa.Array) else got[x.name].cast(x.type) for x in out], schema=out)
 
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 4000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")  # texts are long; batches are held twice
     return df.mapInArrow(run, schema)
 
 
@@ -74,5 +77,8 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
     yield from slices(batch.slice(half), most)
 
 
-def texts(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like this one that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name

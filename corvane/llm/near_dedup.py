@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, table, work_dir
+from .common import fresh, map_batches, stage, table, work_dir
 from .token_store import mix64
 
 SHINGLE, SHARE = 5, 85
@@ -371,8 +371,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each class, with all its columns; of equal rows one."""
     first, named = classes(docs)
     stay = first.join(named, "name", "left").where(F.col("name").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k", "h").distinct()
-    keyed = _keyed(docs).withColumnRenamed("k", "__k").withColumnRenamed("h", "__h").dropDuplicates(["__k", "__h"])
-    return keyed.join(stay, (F.col("__k") == F.col("k")) & (F.col("__h") == F.col("h")), "left_semi").select(*docs.columns)
+    k, h = fresh("k", docs.columns), fresh("h", docs.columns)
+    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn(h, F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
+    stay = stay.select(F.col("k").alias(k), F.col("h").alias(h))
+    return keyed.dropDuplicates([k, h]).join(stay, [k, h], "left_semi").select(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
