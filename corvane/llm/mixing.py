@@ -49,7 +49,7 @@ def _mix(docs: DataFrame, weights, most: int, seed: int, weight_col: str | None,
     own = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
     rows = docs.select("doc_id", "source", words_of("text").alias("_size"), u.alias("_u"), own.alias("_own"), *[F.col(c).alias(f"k_{c}") for c in keep])
     rows = stage(rows, "rows").withColumnRenamed("_size", "size")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("_own") * F.col("size")) / F.sum("size")).alias("mean"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("_own") * F.col("size")), F.sum("size")).alias("mean"))
     known = stage(targets_of(sums.select("source", "source_size"), weights, most).alias("t").join(sums.alias("s"), F.expr("t.source <=> s.source")).selectExpr("t.source", "t.source_size", "target", "n", "coalesce(mean, 0) mean"), "targets")
     r = rows.alias("r").join(known.alias("k"), F.expr("r.source <=> k.source")).select("r.*", "k.source_size", "k.target", "k.n", "k.mean")
     m = F.when((F.col("source_size") > 0) & (F.col("mean") > 0), F.col("target") / F.col("source_size") * F.col("_own") / F.col("mean")).otherwise(0.0)
