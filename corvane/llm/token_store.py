@@ -5,7 +5,8 @@ last eight ids has zeros in its top bits, so that equal passages give equal chun
 by the BLAKE2b-128 of its ids (little-endian, 32 bits) and stored once; a document is a recipe of chunk names.
 
 Files, all Parquet, below one folder:
-  chunks/   digest, n, data          unique chunks; data is zstd of the ids, 16 bits each if all are below 65536, else 32
+  chunks/   digest, n, width, data   unique chunks; data is the ids, width (2 or 4) bytes each, in pages compressed with
+                                     zstd
   docs/     doc_id, start, n_tokens, digests, lens, root, pack, seq   in ascending doc_id order over the packs
   manifest/ pack, n_docs, n_tokens, start, root   Merkle roots over the documents' roots of a pack
 
@@ -21,12 +22,14 @@ documents are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,45 +37,165 @@ from .common import map_batches, table, work_dir
 
 END = 0
 LEAST, MOST, SPAN, TOP_BITS = 64, 4096, 8, 9
-_ODD = re.compile(r"\s[ ]|[ ]\s")
+#: White space other than a space or a line feed, by Unicode.
+_RARE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+
+#: Stand for "no space before" and for a line feed before a piece; texts that hold them are encoded uncut.
+BARE, FEED = "\x1f", "\x1e"
+
+
+def _spelled() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a character: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SPELLED = _spelled()
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------------
 class Encoder:
-    """Ids of whole texts. A text is cut before each space that stands between other characters, where the pre-tokenizer
-    of a byte-level BPE always cuts too, and pieces are encoded once while they are remembered. Texts with runs of white
-    space around a space are encoded uncut."""
+    """Ids of whole texts, gathered from those of pieces, each of which is encoded once while it is remembered.
+
+    A byte-level BPE's pre-tokenizer always cuts before a space that stands between other characters, around a line feed
+    between other characters, and between a letter and a full stop or comma. Texts are cut there, and only there; texts
+    with other runs of white space, with rarer white space, or with marks after something else than a letter are encoded
+    uncut. Pieces are found and remembered as Arrow arrays; only new ones become Python strings."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel; a thread pool in each worker only holds memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         self.remember = remember
+        self.feed = self._encode(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), 1024):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
+        return out
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Parts have no white space but a first space, so line feeds between them are tokens of their own."""
+        if len(self.feed) != 4:
+            return self._encode(parts)
+        out: list[bytes] = []
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4"))
+            if len(cuts) != len(some) - 1:
+                out += self._encode(some)
+                continue
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[a:b] for a, b in zip([0, *[c + 4 for c in ends]], [*ends, len(raw)], strict=True)]
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters after a space are one pre-token each; the BPE model takes them without the steps before it."""
+        merge, spell = self.tokenizer.model.tokenize, _SPELLED
+        return [array("I", [t.id for t in merge((" " + x).encode().decode("latin-1").translate(spell))]).tobytes() for x in words]
+
+    def _learn(self, new: pa.Array) -> None:
+        words, parts, fed, alone = [], [], [], []
+        for k, x in enumerate(new.to_pylist()):
+            if x.isalpha():
+                words.append((k, x))
+            elif not x:  # a last space
+                alone.append((k, " "))
+            elif x[0] == BARE:
+                parts.append((k, x[1:]))
+            elif x[0] == FEED:
+                fed.append((k, x[1:]))
+            else:
+                parts.append((k, " " + x))
+        own: list[bytes] = [b""] * len(new)
+        for some, ids in (
+            (words, self._encode_words([x for _, x in words])),
+            (parts, self._encode_parts([x for _, x in parts]) if parts else []),
+            (alone, self._encode([x for _, x in alone])),
+            (fed, [self.feed + y for y in self._encode([x for _, x in fed])]),
+        ):
+            for (k, _), y in zip(some, ids, strict=True):
+                own[k] = y
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(own), "<u4")])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, own), np.int64, len(own)) // 4])
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece is remembered; -1 for new ones."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        pieces = [None if _ODD.search(t or "") else (t or "").split(" ") for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        known = self.known
-        first = {p[0] for p in pieces if p}
-        later = {x for p in pieces if p for x in p[1:]}
-        new = [x for x in later if x not in known]
-        known.update(zip(new, self._encode([f" {x}" for x in new]), strict=True))
-        heads = dict(zip(first, self._encode(list(first)), strict=True))
-        get = known.__getitem__
-        out = [b"" if p is None else heads[p[0]] + b"".join(map(get, p[1:])) for p in pieces]
-        whole = [i for i, p in enumerate(pieces) if p is None]
+        out: list[bytes] = [b""] * len(texts)
+        whole, cut, marked = [], [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if "  " in t or "\n " in t or " \n" in t or "\n\n\n" in t or t[-2:] == "\n\n" or _RARE.search(t):
+                whole.append(i)
+            else:
+                cut.append(i)
+                marked.append(t.replace(", ", f" {BARE}, ").replace(". ", f" {BARE}. ").replace(".\n", f" {BARE}.\n").replace("\n", f" {FEED}"))
+        if cut:
+            lists = pc.split_pattern(pa.array(marked, pa.large_string()), pattern=" ")
+            del marked
+            at = lists.offsets.to_numpy()
+            coded = lists.values.dictionary_encode()
+            which, distinct = coded.indices.to_numpy(), coded.dictionary
+            # a mark must stand after a letter, within the text
+            at_mark = np.flatnonzero(pc.starts_with(distinct, BARE).to_numpy(zero_copy_only=False)[which])
+            before = which[np.maximum(at_mark - 1, 0)]
+            some = np.unique(before)
+            letter = np.zeros(len(distinct), bool)
+            letter[some] = [x[-1:].isalpha() for x in distinct.take(pa.array(some)).to_pylist()]
+            first = np.zeros(len(which) + 1, bool)
+            first[at[:-1]] = True
+            wrong = {*np.searchsorted(at, at_mark[~letter[before] | first[at_mark]], side="right").tolist()}
+            heads = distinct.take(pa.array(which[at[:-1]])).to_pylist()  # the first piece of a text stands after no space
+            if len(self.pieces) > self.remember:
+                self._forget()
+            found = self._find(distinct)
+            fresh = found < 0
+            if fresh.any():
+                found[fresh] = len(self.pieces) + np.arange(fresh.sum())
+                self._learn(distinct.filter(pa.array(fresh)))
+            starts = np.cumsum(self.sizes) - self.sizes
+            place = found[which]
+            n = self.sizes[place]
+            n[at[:-1]] = 0
+            ends = np.cumsum(n)
+            gathered = self.ids[np.arange(ends[-1]) + np.repeat(starts[place] - (ends - n), n)]
+            bounds = [0, *ends[at[1:] - 1].tolist()]
+            for k, (i, head, a, b) in enumerate(zip(cut, self._encode(heads), bounds, bounds[1:], strict=False)):
+                if k + 1 in wrong:
+                    whole.append(i)
+                else:
+                    out[i] = head + gathered[a:b].tobytes()
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One in each Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 # ---- cutting --------------------------------------------------------------------------------------------------------
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,22 +203,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cut_points(ids: np.ndarray, most: int = MOST, least: int = LEAST) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= least:
-        return [n]
-    gear = mix64(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_GEAR = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places in id streams, one after the other, where the rolling hash would cut. It looks at SPAN ids, and chunks have
+    at least LEAST, so what it sees across the start of a stream is never a cut."""
+    gear = _GEAR[ids] if not len(ids) or int(ids.max()) < len(_GEAR) else mix64(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     rolled = gear.copy()
     for j in range(1, SPAN):
         rolled[j:] += gear[:-j] << np.uint64(j * 5)
+    return np.flatnonzero(rolled >> np.uint64(64 - TOP_BITS) == 0) + 1
+
+
+def cut_points(marks: list[int], n: int, most: int = MOST, least: int = LEAST) -> list[int]:
+    """Ends of the chunks of a stream of n ids with marks at these places in it."""
     ends, last = [], 0
-    for at in np.flatnonzero(rolled >> np.uint64(64 - TOP_BITS) == 0) + 1:
+    for at in marks:
         while at - last > most:
             last += most
             ends.append(last)
         if at - last >= least:
-            last = int(at)
+            last = at
             ends.append(last)
     while n - last > most:
         last += most
@@ -105,14 +234,8 @@ def cut_points(ids: np.ndarray, most: int = MOST, least: int = LEAST) -> list[in
     return ends
 
 
-def pack_ids(raw: bytes) -> bytes:
-    ids = np.frombuffer(raw, "<u4")
-    small = len(ids) == 0 or int(ids.max()) < 65536
-    return bytes([2 if small else 4]) + zstandard.compress(ids.astype("<u2").tobytes() if small else raw, 3)
-
-
-def unpack_ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[0] == 2 else "<u4").astype("<u4")
+def unpack_ids(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if width == 2 else "<u4").astype("<u4")
 
 
 def name_of(raw: bytes) -> bytes:
@@ -177,7 +300,7 @@ def crc_whole(bare: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 # ---- writing --------------------------------------------------------------------------------------------------------
-STAGED = "doc_id long, n_tokens long, digests binary, lens array<int>, root binary, digest binary, n int, data binary"
+STAGED = "doc_id long, n_tokens long, digests binary, lens array<int>, root binary, digest binary, n int, width int, data binary"
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -> None:
@@ -185,33 +308,51 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -
     spark = docs.sparkSession
 
     def make():
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         tail = np.array([end_id], dtype="<u4").tobytes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict = {k: [] for k in ("doc_id", "n_tokens", "digests", "lens", "root", "digest", "n", "data")}
-            seen: dict[bytes, bytes] = {}
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                raw += tail
-                names, ends = [], cut_points(np.frombuffer(raw, "<u4"))
-                for a, b in zip([0, *ends], ends, strict=False):
-                    chunk = raw[4 * a : 4 * b]
-                    names.append(name := name_of(chunk))
-                    seen.setdefault(name, chunk)
-                for k, v in zip(out, (doc_id, len(raw) // 4, b"".join(names), np.diff([0, *ends]).tolist(), merkle(names), None, None, None), strict=True):
-                    out[k].append(v)
-            for name, chunk in seen.items():
-                for k, v in zip(out, (None, None, None, None, None, name, len(chunk) // 4, pack_ids(chunk)), strict=True):
-                    out[k].append(v)
+            out: dict = {k: [] for k in ("doc_id", "n_tokens", "digests", "lens", "root", "digest", "n", "width", "data")}
+            seen: dict[bytes, tuple[int, int]] = {}
+            raw = [r + tail for r in encode(batch.column("text").to_pylist())]
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            stops = np.cumsum([len(r) // 4 for r in raw])
+            marks = cut_marks(ids)
+            at = np.searchsorted(marks, stops, side="right").tolist()
+            start = first = 0
+            for stop, last, r in zip(stops.tolist(), at, raw, strict=True):
+                names, a = [], 0
+                ends = cut_points((marks[first:last] - start).tolist(), stop - start)
+                for b in ends:
+                    names.append(name := name_of(r[4 * a : 4 * b]))
+                    if name not in seen:
+                        seen[name] = (start + a, start + b)
+                    a = b
+                out["n_tokens"].append(stop - start)
+                out["digests"].append(b"".join(names))
+                out["lens"].append(np.diff(ends, prepend=0))
+                out["root"].append(merkle(names))
+                start, first = stop, last
+            docs, chunks = len(raw), len(seen)
+            nothing = [None] * chunks
+            for k in ("n_tokens", "digests", "lens", "root"):
+                out[k] += nothing
+            out["doc_id"] = batch.column("doc_id").to_pylist() + nothing
+            out["digest"] = [None] * docs + list(seen)
+            width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
+            packed = ids.astype(f"<u{width}").tobytes()
+            out["n"] = [None] * docs + [b - a for a, b in seen.values()]
+            out["width"] = [None] * docs + [width] * chunks
+            out["data"] = [None] * docs + [packed[width * a : width * b] for a, b in seen.values()]
             return out
 
         return run
 
-    both = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, STAGED)
-    both.write.option("compression", "none").parquet(f"{path}/staged")
+    both = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, STAGED, 16 << 20)
+    both.write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.schema(both.schema).parquet(f"{path}/staged")
-    chunks = staged.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data"))
-    chunks.write.option("compression", "none").parquet(f"{path}/chunks")
+    chunks = staged.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("width").alias("width"), F.first("data").alias("data"))
+    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     recipes = staged.where("digest IS NULL").select("doc_id", "n_tokens", "digests", "lens", "root")
     ranged = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
@@ -260,19 +401,26 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            names, crcs, ns = batch.column("digest").to_pylist(), [], []
-            for name, data in zip(names, batch.column("data").to_pylist(), strict=True):
-                raw = unpack_ids(data).tobytes()
+            names, crcs = batch.column("digest").to_pylist(), []
+            data, widths = batch.column("data").to_pylist(), batch.column("width").to_pylist()
+            ns = [len(d) // w for d, w in zip(data, widths, strict=True)]
+            if len(set(widths)) == 1:
+                whole = memoryview(unpack_ids(b"".join(data), widths[0]).tobytes())
+            else:
+                whole = memoryview(b"".join(unpack_ids(d, w).tobytes() for d, w in zip(data, widths, strict=True)))
+            a = 0
+            for name, k in zip(names, ns, strict=True):
+                raw = whole[a : a + 4 * k]
+                a += 4 * k
                 if name_of(raw) != name:
                     raise ValueError(f"chunk {name.hex()} is damaged")
                 crcs.append(zlib.crc32(raw))
-                ns.append(len(raw) // 4)
             n = np.array(ns, dtype=np.int64)
             return {"digest": batch.column("digest"), "n": n, "bare": crc_bare(np.array(crcs, dtype=np.uint32), 4 * n).astype(np.int64)}
 
         return run
 
-    return map_batches(spark.read.parquet(f"{path}/chunks").select("digest", "data"), make, "digest binary, n long, bare long")
+    return map_batches(spark.read.parquet(f"{path}/chunks").select("digest", "width", "data"), make, "digest binary, n long, bare long")
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
@@ -327,13 +475,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids: the documents put together again from their chunks."""
     docs = spark.read.parquet(f"{path}/docs")
     uses = docs.select("doc_id", "start", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lens") - 1), lambda i: F.substring(F.col("digests"), i * 16 + 1, F.lit(16)))).alias("k", "digest"))
-    full = uses.join(spark.read.parquet(f"{path}/chunks").select("digest", "data"), "digest")
+    full = uses.join(spark.read.parquet(f"{path}/chunks").select("digest", "width", "data"), "digest")
 
     def gather(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("k")
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "start": pdf["start"].iloc[:1], "ids": [np.concatenate([unpack_ids(bytes(d)) for d in pdf["data"]]).astype(np.int64).tolist()]})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "start": pdf["start"].iloc[:1], "ids": [np.concatenate([unpack_ids(bytes(d), w) for d, w in zip(pdf["data"], pdf["width"], strict=True)]).astype(np.int64).tolist()]})
 
     return full.groupBy("start").applyInPandas(gather, "doc_id long, start long, ids array<long>")
 
