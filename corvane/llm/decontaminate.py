@@ -161,7 +161,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
@@ -181,3 +181,27 @@ def _clean(docs: DataFrame, shared) -> DataFrame:
             yield batch.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), v AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM w
+), windows AS (
+  SELECT id AS item_id, least(len(words), 10) AS n, array_to_string(list_slice(words, k, k + 9), ' ') AS g
+  FROM v, unnest(range(1, greatest(len(words) - 8, 2))) AS t(k) WHERE kind = 'i' AND len(words) > 0
+), grams AS (
+  SELECT id AS doc_id, k, n, array_to_string(list_slice(words, k, k + n - 1), ' ') AS g
+  FROM v, (SELECT DISTINCT n FROM windows) AS l, unnest(range(1, len(words) - n + 2)) AS t(k) WHERE kind = 'd'
+), found AS (
+  SELECT doc_id, k, grams.n, item_id FROM grams JOIN windows ON grams.n = windows.n AND grams.g = windows.g
+), hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT v.id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM v LEFT JOIN hit ON v.id = hit.doc_id LEFT JOIN items ON v.id = items.doc_id WHERE kind = 'd'
+"""

@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op8_url_filter": url_rules.SQL}
+ORACLE_SQL = {"op2_decontamination": decontaminate.SQL, "op4_near_dedup": near_dedup.SQL, "op8_url_filter": url_rules.SQL}

@@ -86,7 +86,7 @@ def test_token_store_sees_damage(spark, docs, tokenizer, tmp_path):
     spark.createDataFrame(kept, chunks.schema).write.mode("overwrite").parquet(f"{store}/chunks")
     with pytest.raises(Exception, match="missing"):
         token_store.verify(spark, store).collect()
-    other = [(r["digest"], r["n"], kept[0]["data"]) for r in kept]
+    other = [(r["digest"], r["n"], r["width"], kept[0]["data"]) for r in kept]
     spark.createDataFrame(other, chunks.schema).write.mode("overwrite").parquet(f"{store}/chunks")
     with pytest.raises(Exception, match="damaged"):
         token_store.read_chunks(spark, store).collect()
