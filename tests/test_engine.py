@@ -90,6 +90,11 @@ def test_explain_tree(engine):
     ]
 
 
+def test_estimate(engine):
+    assert engine.estimate("SELECT id FROM orders LIMIT 3")[0] == 3
+    assert engine.estimate("SELECT id FROM orders")[1] > 0
+
+
 def test_top_k_plan(engine):
     assert "TakeOrderedAndProject" in engine.explain("SELECT id FROM orders ORDER BY id LIMIT 3", "simple")
 
