@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField
 
 from .types import Kind, kind_of
 
@@ -16,6 +17,7 @@ class Table:
     #: Where its Parquet files are, if it was read from files.
     path: str | None = None
     columns: tuple[tuple[str, Kind], ...] = field(default=())
+    fields: tuple[StructField, ...] = field(default=())
 
     @property
     def kinds(self) -> dict[str, Kind]:
@@ -31,8 +33,9 @@ class Catalog:
         """A DataFrame, or the path of Parquet files. A name that is taken keeps its first table."""
         if name not in self.tables:
             frame = self.spark.read.parquet(source) if isinstance(source, str) else source
-            columns = tuple((f.name, kind_of(f.dataType)) for f in frame.schema.fields)
-            self.tables[name] = Table(name, frame, source if isinstance(source, str) else None, columns)
+            fields = tuple(frame.schema.fields)
+            columns = tuple((f.name, kind_of(f.dataType)) for f in fields)
+            self.tables[name] = Table(name, frame, source if isinstance(source, str) else None, columns, fields)
         return self.tables[name]
 
     def get(self, name: str) -> Table | None:

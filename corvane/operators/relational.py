@@ -19,8 +19,10 @@ def frame(node: Node) -> DataFrame:
 
 @frame.register
 def _(node: Scan) -> DataFrame:
+    """The columns that the query uses; Catalyst would prune the others anyway, at the cost of analysing them."""
     source = node.table.frame
-    return source.select(*[widened(source[f"`{f.name}`"], f.dataType).alias(o.id) for f, o in zip(source.schema.fields, node.output, strict=True)])
+    fields = zip(node.table.fields, node.output, strict=True)
+    return source.select(*[widened(F.col(f"`{f.name}`"), f.dataType).alias(o.id) for f, o in fields if o.id in node.used])
 
 
 @frame.register
@@ -31,10 +33,9 @@ def _(node: Joined) -> DataFrame:
 
 @frame.register
 def _(node: Filtered) -> DataFrame:
-    """Null tests of all columns, then the predicate as it is: both reach the scan as pushed filters."""
+    """Null tests of all columns and the predicate as it is: both reach the scan as pushed filters."""
     present = all_present(F.col(i) for i in node.predicate.ids)
-    out = frame(node.input)
-    return (out if present is None else out.where(present)).where(node.predicate.raw)
+    return frame(node.input).where(node.predicate.raw if present is None else present & node.predicate.raw)
 
 
 _AGGREGATES = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
@@ -68,4 +69,6 @@ def _(node: Limited) -> DataFrame:
 
 def lower(node: Node) -> DataFrame:
     """The query's DataFrame, under the names that the query gives its columns."""
+    if isinstance(node, Projected):
+        return frame(node.input).select(*[c.alias(o.name) for c, o, _ in node.items])
     return frame(node).toDF(*[o.name for o in node.output])
