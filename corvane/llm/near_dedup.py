@@ -14,7 +14,8 @@ are linked if 100 * |A & B| >= 85 * |A | B|; the classes are the connected compo
    sets; links merge components, refuted pairs are not proposed again. It ends when no bucket has a pair left, so no
    proposal is dropped, and a group of m near copies costs about m confirmations instead of m * m.
 
-Buckets of more than BLOCK nodes are dealt to cells, one for each two of their blocks. Components are found by the
+Buckets of more than BLOCK nodes are dealt to cells, one for each two of their blocks; small ones share a task's group.
+Components are found by the
 large-star and small-star steps on staged tables. Nothing but counts comes to the driver.
 
 Defined results: null, empty and wordless texts have an empty set and are their own class; rows with equal doc_id and
@@ -39,7 +40,7 @@ from .token_store import mix64
 SHINGLE, SHARE = 5, 85
 BANDS, ROWS = 25, 5
 ODD_BITS, SET_BITS = 512, 1024
-BLOCK, FURTHER = 2048, 8
+BLOCK, FURTHER, CELL_ROWS = 2048, 8, 2048
 
 _K = BANDS * ROWS
 _SEEDS = mix64(np.arange(1, 1 + 2 * _K + 256 + 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -188,33 +189,39 @@ class Forest:
         return a != b
 
 
+_PROPOSED = ("key", "bi", "bj", "a", "b")
+
+
 def _propose(forest_only: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(cell: pd.DataFrame, refuted: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("key", "bi", "bj", "a", "b")})
-        if not len(cell):
-            return empty
-        cell = cell.sort_values(["node", "block"]).reset_index(drop=True)
-        node, label, n = cell["node"].to_numpy(), cell["label"].to_numpy(), cell["n"].to_numpy()
-        odd = np.frombuffer(b"".join(map(bytes, cell["odd"])), np.uint64).reshape(len(cell), -1)
-        whole = np.frombuffer(b"".join(map(bytes, cell["whole"])), np.uint64).reshape(len(cell), -1)
-        bi, bj = int(cell["bi"].iloc[0]), int(cell["bj"].iloc[0])
-        left = np.flatnonzero(cell["block"].to_numpy() == bi)
-        right = left if bi == bj else np.flatnonzero(cell["block"].to_numpy() == bj)
-        i, j, far = allowed_pairs(n, odd, whole, left, right, label)
-        order = np.lexsort((node[j], node[i], far))
-        known = {*zip(refuted["a"].tolist(), refuted["b"].tolist(), strict=True)}
-        known |= {(b, a) for a, b in known}
-        forest, out, most = Forest(), [], FURTHER * len(cell)
-        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            a, b = int(node[x]), int(node[y])
-            if (a, b) in known or forest_only and not forest.join(int(label[x]), int(label[y])):
-                continue
-            out.append((min(a, b), max(a, b)))
-            if len(out) >= most:  # the rest has its turn in the next round
-                break
-        if not out:
-            return empty
-        return pd.DataFrame({"key": cell["key"].iloc[0], "bi": bi, "bj": bj, "a": [a for a, _ in out], "b": [b for _, b in out]})
+    """Over the rows of some bucket cells and the refuted pairs from them."""
+
+    def run(rows: pd.DataFrame, refuted: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(rows):
+            key, node, block, bi, bj = (rows[c].to_numpy() for c in ("key", "node", "block", "bi", "bj"))
+            order = np.lexsort((block, node, bj, bi, key))
+            key, node, block, bi, bj = (x[order] for x in (key, node, block, bi, bj))
+            label, n = rows["label"].to_numpy()[order], rows["n"].to_numpy()[order]
+            odd, whole = (np.frombuffer(b"".join(rows[c]), np.uint64).reshape(len(rows), -1)[order] for c in ("odd", "whole"))
+            known = {*zip(refuted["a"].tolist(), refuted["b"].tolist(), strict=True)}
+            forest = Forest()
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+                own = slice(lo, hi)
+                left = np.flatnonzero(block[own] == bi[lo])
+                right = left if bi[lo] == bj[lo] else np.flatnonzero(block[own] == bj[lo])
+                i, j, far = allowed_pairs(n[own], odd[own], whole[own], left, right, label[own])
+                some = 0
+                for k in np.lexsort((node[own][j], node[own][i], far)).tolist():
+                    x, y = lo + int(i[k]), lo + int(j[k])
+                    a, b = sorted((int(node[x]), int(node[y])))
+                    if (a, b) in known or forest_only and not forest.join(int(label[x]), int(label[y])):
+                        continue
+                    out.append((int(key[lo]), int(bi[lo]), int(bj[lo]), a, b))
+                    some += 1
+                    if some >= FURTHER * (hi - lo):  # the rest has its turn in the next round
+                        break
+        return pd.DataFrame(out, columns=_PROPOSED) if out else pd.DataFrame({c: [] for c in _PROPOSED})
 
     return run
 
@@ -331,6 +338,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     _sketched(found).repartition(parts, "node").write.option("path", f"{work_dir(spark)}/texts").option("compression", "zstd").bucketBy(parts, "node").saveAsTable(name)
     texts = spark.table(name)
     sketches = texts.select("node", "n", "odd", "whole")
+    # bucket cells are dealt to groups of about CELL_ROWS rows
+    groups = members.agg(F.sum(F.ceil(F.col("m") / BLOCK))).first()[0] or 0
+    group = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(int(groups) // CELL_ROWS + 1)).alias("cell")
     labels = texts.select("node", F.col("node").alias("label"))
     cell_schema = "key long, bi int, bj int, a long, b long"
     links = refuted = spark.createDataFrame([], cell_schema)
@@ -343,7 +353,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")
         rows = rows.select("key", "node", "label", "n", "odd", "whole", "block", other).withColumn("bi", F.least("block", "o").cast("int")).withColumn("bj", F.greatest("block", "o").cast("int"))
-        cells = rows.groupBy("key", "bi", "bj").cogroup(refuted.groupBy("key", "bi", "bj"))
+        cells = rows.select("*", group).groupBy("cell").cogroup(refuted.select("*", group).groupBy("cell"))
         proposed = stage(cells.applyInPandas(_propose(tried == 0), cell_schema), "proposed")
         if proposed.limit(1).count() == 0:
             break
