@@ -16,9 +16,9 @@ further columns of documents are dropped by scan() and kept by drop_contaminated
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +109,20 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, runs array<int>, spans array<int>"
-_SCANNERS: dict[int, Scanner] = {}
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def kept_scanner(key: str, shared) -> Scanner:
+    """A broadcast block's scanner in a Python worker, which keeps the last one it has built."""
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(shared.value)
+    return _SCANNERS[key]
+
+
+def _scanner_of(spark: SparkSession, block: dict[bytes, list]) -> Callable[[], Scanner]:
+    shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    return lambda: kept_scanner(key, shared)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -125,14 +138,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
 
 def _pass(docs: DataFrame, block: dict[bytes, list], more: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    scanner_of = _scanner_of(docs.sparkSession, block)
 
     def make():
-        key = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") and shared._jbroadcast else id(shared)
-        if key not in _SCANNERS:
-            _SCANNERS.clear()
-            _SCANNERS[key] = Scanner(shared.value)
-        scanner = _SCANNERS[key]
+        scanner = scanner_of()
 
         def run(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
@@ -153,10 +162,6 @@ def _pass(docs: DataFrame, block: dict[bytes, list], more: bool) -> DataFrame:
     return map_batches(docs, make, SCHEMA + ", text string")
 
 
-def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
@@ -168,14 +173,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns."""
     for block in window_blocks(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = _clean(docs, shared)
+        docs = _clean(docs, _scanner_of(docs.sparkSession, block))
     return docs
 
 
-def _clean(docs: DataFrame, shared) -> DataFrame:
+def _clean(docs: DataFrame, scanner_of: Callable[[], Scanner]) -> DataFrame:
     def run(batches):
-        scanner = Scanner(shared.value)
+        scanner = scanner_of()
         for batch in batches:
             keep = pa.array([not scanner(t)[1] for t in batch.column("text").to_pylist()], pa.bool_())
             yield batch.filter(keep)
