@@ -97,7 +97,7 @@ class Vocabulary:
 class Counter:
     """Counts of many texts; what a cut counts is remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
         self.vocabulary, self.remember = vocabulary, remember
         self.known: dict[str, tuple[int, float]] = {}
 
@@ -135,6 +135,13 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
+def kept_counter(path: str) -> Counter:
+    """One in each Python worker."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(Vocabulary.read(path))
+    return _COUNTERS[path]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, score."""
     if path is None:
@@ -143,9 +150,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("piece_bpe_32k.model")
 
     def make():
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(Vocabulary.read(path))
-        counter = _COUNTERS[path]
+        counter = kept_counter(path)
 
         def run(batch: pa.RecordBatch) -> dict:
             n, score = counter(batch.column("text").to_pylist())
