@@ -1,11 +1,12 @@
 """Near-duplicate documents by banded MinHash, odd sketches and exact confirmation (operator 4).
 
 A document's set holds its distinct shingles of five words (lower-cased A-Z; a shorter text is one shingle). Documents
-are linked if 100 * |A & B| >= 85 * |A | B|; the classes are the connected components.
+are linked if 100 * |A & B| >= share * |A | B|; the classes are the connected components. The share is 85 in op4; callers
+may pass another, and bands and bounds follow from it.
 
 1. Documents with equal sets are one node from the start, so copies never meet again.
-2. BANDS x ROWS MinHashes give each node band keys. Buckets (keys with several nodes) that hold the same nodes are merged.
-   A pair at the threshold shares a bucket with probability 1 - (1 - 0.85^5)^25 > 1 - 10^-6.
+2. bands x ROWS MinHashes give each node band keys. Buckets (keys with several nodes) that hold the same nodes are merged.
+   A pair at the threshold shares no bucket with probability (1 - (share / 100)^5)^bands <= MISS: 25 bands at 85, 37 at 80.
 3. Nodes in buckets get two parity bitmaps: the odd sketch, into which the MinHash samples are folded, and the same of
    the whole set. XOR population counts estimate similarity; the whole set's count never exceeds the symmetric
    difference, so it also rejects with certainty. Bounds lie 6 standard deviations beyond the threshold.
@@ -26,7 +27,10 @@ result; further columns are ignored by near_duplicates() and kept by one_of_each
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,20 +42,43 @@ from .common import fresh, map_batches, stage, table, work_dir
 from .token_store import mix64
 
 SHINGLE, SHARE = 5, 85
-BANDS, ROWS = 25, 5
+ROWS, MISS = 5, 5e-7
 ODD_BITS, SET_BITS = 512, 1024
 BLOCK, FURTHER, CELL_ROWS = 2048, 8, 2048
 
-_K = BANDS * ROWS
+_K = 125
 _SEEDS = mix64(np.arange(1, 1 + 2 * _K + 256 + 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_MUL = (_SEEDS[:_K] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_ADD = (_SEEDS[_K : 2 * _K] >> np.uint64(32)).astype(np.uint32)
 _BYTE = _SEEDS[2 * _K : 2 * _K + 256]
 _PLACE = _SEEDS[2 * _K + 256 :] | np.uint64(1)
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
+def _expected(differences: np.ndarray | float, bits: int):
+    """Mean and deviation of the population count of a parity bitmap after so many toggles."""
+    return bits / 2 * (1 - np.exp(-2 * differences / bits)), np.sqrt(bits / 4 * (1 - np.exp(-4 * differences / bits)))
+
+
+class Threshold(NamedTuple):
+    """What follows from a share: bands, multipliers and addends of bands * ROWS MinHashes, most bits of two odd sketches."""
+
+    bands: int
+    mul: np.ndarray
+    add: np.ndarray
+    odd_bound: float
+
+
+@cache
+def threshold(share: int) -> Threshold:
+    bands = math.ceil(math.log(MISS) / math.log1p(-((share / 100) ** ROWS))) if share < 100 else 1
+    k = bands * ROWS
+    more = mix64(np.arange(1 + len(_SEEDS), 1 + len(_SEEDS) + 2 * max(0, k - _K), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    mul, add = np.concatenate([_SEEDS[:_K], more[::2]])[:k], np.concatenate([_SEEDS[_K : 2 * _K], more[1::2]])[:k]
+    apart = k * (1 - share / 100)
+    mean, noise = _expected(2 * apart, ODD_BITS)
+    return Threshold(bands, (mul >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (add >> np.uint64(32)).astype(np.uint32), mean + 6 * np.sqrt(4 * apart * share / 100 + noise**2))
+
+
 # ---- sets -----------------------------------------------------------------------------------------------------------
 def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the blob's words, and where they start. Words are separated by spaces."""
@@ -94,18 +121,19 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
+def minhashes(shingles: np.ndarray, share: int = SHARE) -> np.ndarray:
+    _, mul, add, _ = threshold(share)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(_K, 0xFFFFFFFF, np.uint32)
+    out = np.full(len(mul), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 512):
-        np.minimum(out, (x[i : i + 512] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=out)
+        np.minimum(out, (x[i : i + 512] * mul[:, None] + add[:, None]).min(axis=1), out=out)
     return out
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    """Documents x BANDS keys."""
-    m = mins.astype(np.uint64).reshape(len(mins), BANDS, ROWS)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _PLACE[11], m.shape[:2]).copy()
+    """Documents x bands keys."""
+    m = mins.astype(np.uint64).reshape(len(mins), -1, ROWS)
+    h = np.broadcast_to(np.arange(m.shape[1], dtype=np.uint64) * _PLACE[11], m.shape[:2]).copy()
     for r in range(ROWS):
         h = mix64(h ^ (m[:, :, r] + _PLACE[r]))
     return h.view(np.int64)
@@ -116,55 +144,42 @@ def parity(values: np.ndarray, bits: int) -> bytes:
 
 
 def odd_sketch(mins: np.ndarray) -> bytes:
-    return parity(mix64(mins.astype(np.uint64) + np.arange(_K, dtype=np.uint64) * _PLACE[13]), ODD_BITS)
+    return parity(mix64(mins.astype(np.uint64) + np.arange(len(mins), dtype=np.uint64) * _PLACE[13]), ODD_BITS)
 
 
 def set_sketch(shingles: np.ndarray) -> bytes:
     return parity(shingles >> np.uint64(7), SET_BITS)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < SHARE * max(len(a), len(b)):
+def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both)
+    return 100 * both >= share * (len(a) + len(b) - both)
 
 
 # ---- candidates -----------------------------------------------------------------------------------------------------
-def _expected(differences: np.ndarray | float, bits: int):
-    """Mean and deviation of the population count of a parity bitmap after so many toggles."""
-    return bits / 2 * (1 - np.exp(-2 * differences / bits)), np.sqrt(bits / 4 * (1 - np.exp(-4 * differences / bits)))
-
-
-def _odd_bound() -> float:
-    apart = _K * (1 - SHARE / 100)
-    mean, noise = _expected(2 * apart, ODD_BITS)
-    return mean + 6 * np.sqrt(4 * apart * SHARE / 100 + noise**2)
-
-
-ODD_BOUND = _odd_bound()
-
-
-def allowed_pairs(n: np.ndarray, odd: np.ndarray, whole: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray):
+def allowed_pairs(n: np.ndarray, odd: np.ndarray, whole: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, share: int = SHARE):
     """Pairs (i in left, j in right) of different labels that the bitmaps allow, with the distances of their sketches."""
     found = []
     ones = np.bitwise_count
+    odd_bound = threshold(share).odd_bound
     for i in left.tolist():
         j = right[(label[right] != label[i]) & ((right > i) | (left is not right))]
-        j = j[100 * np.minimum(n[j], n[i]) >= SHARE * np.maximum(n[j], n[i])]
+        j = j[100 * np.minimum(n[j], n[i]) >= share * np.maximum(n[j], n[i])]
         if not len(j):
             continue
         o = ones(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int32)
-        near = o <= ODD_BOUND
+        near = o <= odd_bound
         j, o = j[near], o[near]
         if not len(j):
             continue
-        most = (100 - SHARE) * (n[j] + n[i]) / (100 + SHARE)
+        most = (100 - share) * (n[j] + n[i]) / (100 + share)
         w = ones(whole[j] ^ whole[i]).sum(axis=1, dtype=np.int32)
         mean, noise = _expected(most, SET_BITS)
         near = w <= np.minimum(most, mean + 6 * noise)
         if near.any():
-            found.append((np.full(near.sum(), i), j[near], o[near] / ODD_BOUND + w[near] / np.maximum(1, np.minimum(most, mean))[near]))
+            found.append((np.full(near.sum(), i), j[near], o[near] / odd_bound + w[near] / np.maximum(1, np.minimum(most, mean))[near]))
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -192,7 +207,7 @@ class Forest:
 _PROPOSED = ("key", "bi", "bj", "a", "b")
 
 
-def _propose(forest_only: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _propose(forest_only: bool, share: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Over the rows of some bucket cells and the refuted pairs from them."""
 
     def run(rows: pd.DataFrame, refuted: pd.DataFrame) -> pd.DataFrame:
@@ -210,7 +225,7 @@ def _propose(forest_only: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.Dat
                 own = slice(lo, hi)
                 left = np.flatnonzero(block[own] == bi[lo])
                 right = left if bi[lo] == bj[lo] else np.flatnonzero(block[own] == bj[lo])
-                i, j, far = allowed_pairs(n[own], odd[own], whole[own], left, right, label[own])
+                i, j, far = allowed_pairs(n[own], odd[own], whole[own], left, right, label[own], share)
                 some = 0
                 for k in np.lexsort((node[own][j], node[own][i], far)).tolist():
                     x, y = lo + int(i[k]), lo + int(j[k])
@@ -262,7 +277,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn("h", F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
 
 
-def _first_pass(docs: DataFrame) -> DataFrame:
+def _first_pass(docs: DataFrame, share: int) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             sets = shingle_sets(batch.column("text").to_pylist())
@@ -274,7 +289,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             own = list(seen.values())
             keys: list = [None] * len(sets)
             if own:
-                for i, row in zip(own, band_keys(np.array([minhashes(sets[i]) for i in own])).tolist(), strict=True):
+                for i, row in zip(own, band_keys(np.array([minhashes(sets[i], share) for i in own])).tolist(), strict=True):
                     keys[i] = row
             return {"k": batch.column("k"), "h": batch.column("h"), "doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "name": names, "bands": keys}
 
@@ -283,18 +298,18 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("k", "h", F.col("doc_id").cast("long"), "text"), make, "k long, h long, doc_id long, n long, name binary, bands array<long>")
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
+def _sketched(texts: DataFrame, share: int) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             sets = shingle_sets(batch.column("text").to_pylist())
-            return {"node": batch.column("node"), "text": batch.column("text"), "n": [len(s) for s in sets], "odd": [odd_sketch(minhashes(s)) for s in sets], "whole": [set_sketch(s) for s in sets]}
+            return {"node": batch.column("node"), "text": batch.column("text"), "n": [len(s) for s in sets], "odd": [odd_sketch(minhashes(s, share)) for s in sets], "whole": [set_sketch(s) for s in sets]}
 
         return run
 
     return map_batches(texts, make, "node long, text string, n long, odd binary, whole binary")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """pairs(a, b) -> a, b, ok by the full sets. Staged."""
 
     def make():
@@ -307,7 +322,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i, x in enumerate(a):
                 if last["a"] != x:
                     last["a"], last["set"] = x, shingle_sets([left[i].as_py()])[0]
-                ok.append(linked(last["set"], right[i]))
+                ok.append(linked(last["set"], right[i], share))
             return {"a": batch.column("a"), "b": batch.column("b"), "ok": ok}
 
         return run
@@ -317,11 +332,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(map_batches(pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b"), make, "a long, b long, ok boolean"), "confirmed")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """First pass over docs (k, h, doc_id, n, name), and name, component_id of every set with words."""
     spark = docs.sparkSession
     keyed = _keyed(docs.select("doc_id", "text"))
-    first = stage(_first_pass(keyed), "first")
+    first = stage(_first_pass(keyed, share), "first")
     nodes = first.where("name IS NOT NULL").groupBy("name").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("k", "h")).alias("rep"), F.first("bands", ignorenulls=True).alias("bands")
     )
@@ -335,7 +350,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     # texts by node in buckets, so that the rounds' joins need not move them
     name = f"corvane_{work_dir(spark).rsplit('-', 1)[1]}"
-    _sketched(found).repartition(parts, "node").write.option("path", f"{work_dir(spark)}/texts").option("compression", "zstd").bucketBy(parts, "node").saveAsTable(name)
+    _sketched(found, share).repartition(parts, "node").write.option("path", f"{work_dir(spark)}/texts").option("compression", "zstd").bucketBy(parts, "node").saveAsTable(name)
     texts = spark.table(name)
     sketches = texts.select("node", "n", "odd", "whole")
     # bucket cells are dealt to groups of about CELL_ROWS rows
@@ -354,10 +369,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")
         rows = rows.select("key", "node", "label", "n", "odd", "whole", "block", other).withColumn("bi", F.least("block", "o").cast("int")).withColumn("bj", F.greatest("block", "o").cast("int"))
         cells = rows.select("*", group).groupBy("cell").cogroup(refuted.select("*", group).groupBy("cell"))
-        proposed = stage(cells.applyInPandas(_propose(tried == 0), cell_schema), "proposed")
+        proposed = stage(cells.applyInPandas(_propose(tried == 0, share), cell_schema), "proposed")
         if proposed.limit(1).count() == 0:
             break
-        verdict = _confirm(proposed.select("a", "b").distinct(), texts)
+        verdict = _confirm(proposed.select("a", "b").distinct(), texts, share)
         judged = proposed.join(verdict, ["a", "b"])
         refuted = stage(refuted.unionByName(judged.where("NOT ok").select("key", "bi", "bj", "a", "b")), "refuted")
         links = stage(links.select("a", "b").unionByName(verdict.where("ok").select("a", "b")), "links")
@@ -369,17 +384,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.drop("bands"), stage(named.join(least, "label").select("name", "component_id"), "classes")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    first, named = classes(docs)
+    first, named = classes(docs, share)
     out = first.join(named, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The document with the smallest doc_id of each class, with all its columns; of equal rows one."""
-    first, named = classes(docs)
+    first, named = classes(docs, share)
     stay = first.join(named, "name", "left").where(F.col("name").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k", "h").distinct()
     k, h = fresh("k", docs.columns), fresh("h", docs.columns)
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn(h, F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
@@ -388,7 +403,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 SQL = r"""

@@ -74,3 +74,19 @@ def test_one_query_for_each_operator():
 
     numbers = sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k[:2] == "op" and k[2].isdigit())
     assert numbers == list(range(1, 11)) and "pipeline" in entry.queries() and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_near_dedup_stage_links_from_080(spark):
+    rows, alike = [], {}
+    for i, (length, edits) in enumerate([(60, 1), (120, 2), (124, 2), (190, 3), (250, 5), (260, 5), (700, 13), (80, 2), (100, 3)] * 4):
+        base = [f"w{i}x{k}" for k in range(length)]
+        near = list(base)
+        for e in range(edits):
+            near[5 + e * (length - 10) // edits] = f"e{i}x{e}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        a, b = data.shingles(rows[-2][1]), data.shingles(rows[-1][1])
+        alike[2 * i + 1] = 100 * len(a & b) / len(a | b)
+    want = [d for d, _ in rows if alike.get(d, 0) < 80]
+    assert sum(80 <= x < 85 for x in alike.values()) >= 12 and any(x < 80 for x in alike.values())
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
