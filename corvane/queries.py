@@ -74,7 +74,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "left_join": ("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "multi_join": ("SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey", None),
     "self_join": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey", None),
-    "join_int_double": ("SELECT l_orderkey, n_name FROM lineitem JOIN nation ON l_quantity = n_nationkey WHERE l_orderkey < 50", None),
+    "join_int_double": ("SELECT l_orderkey, n_name FROM lineitem JOIN nation ON l_quantity = n_nationkey", None),
     "join_null_keys": ("SELECT d.doc_id, n.n_name FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id JOIN nation n ON l.quality = n.n_nationkey", None),
     "join_group_count": ("SELECT c.c_mktsegment, COUNT(*) AS n, MAX(o.o_totalprice) AS m FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment", None),
     "left_join_filter": ("SELECT c.c_custkey, COUNT(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_nationkey = 3 GROUP BY c.c_custkey", None),

@@ -27,6 +27,11 @@ def test_same_as_duckdb(spark, duck, name):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_join_int_double_takes_all_of_lineitem(spark, duck):
+    pairs = duck.execute("SELECT COUNT(*) FROM lineitem JOIN nation ON l_quantity = n_nationkey").fetchone()[0]
+    assert core.queries()["join_int_double"](spark, SF).count() == pairs > 1000
+
+
 def test_entry_and_every_query_has_an_oracle(spark):
     import __spark_entry__ as entry
 
