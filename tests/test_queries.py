@@ -32,6 +32,11 @@ def test_join_int_double_takes_all_of_lineitem(spark, duck):
     assert core.queries()["join_int_double"](spark, SF).count() == pairs > 1000
 
 
+def test_computed_alias_takes_all_of_lineitem(spark, duck):
+    rows = duck.execute("SELECT COUNT(*) FROM lineitem").fetchone()[0]
+    assert core.queries()["computed_alias"](spark, SF).count() == rows > 1000
+
+
 def test_entry_and_every_query_has_an_oracle(spark):
     import __spark_entry__ as entry
 
