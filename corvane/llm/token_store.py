@@ -423,8 +423,19 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return map_batches(spark.read.parquet(f"{path}/chunks").select("digest", "width", "data"), make, "digest binary, n long, bare long")
 
 
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Fails if the packs of docs/ are not those of manifest/, by counts, start and root."""
+    packed = F.struct("n_docs", "n_tokens", "start", "root")
+    found = _manifest(spark, path).select("pack", packed.alias("found"))
+    told = spark.read.parquet(f"{path}/manifest").select("pack", packed.alias("told"))
+    wrong = found.join(told, "pack", "full").where("NOT found <=> told").select("pack").limit(1).collect()
+    if wrong:
+        raise ValueError(f"pack {wrong[0]['pack']} differs from the manifest")
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, root of each document, from the files alone; fails if a chunk is missing."""
+    """doc_id, start, n_tokens, ids_crc32, root of each document, from the files alone; fails if a chunk, or a document of the manifest, is missing."""
+    check_manifest(spark, path)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:

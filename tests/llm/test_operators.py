@@ -92,6 +92,23 @@ def test_token_store_sees_damage(spark, docs, tokenizer, tmp_path):
         token_store.read_chunks(spark, store).collect()
 
 
+@pytest.mark.parametrize("whole_pack", [False, True])
+def test_token_store_sees_missing_documents(spark, docs, tokenizer, tmp_path, whole_pack):
+    store = f"file://{tmp_path}/store"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several packs
+    try:
+        token_store.write_store(docs, store, tokenizer[0])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = spark.read.parquet(f"{store}/docs")
+    schema, every = rows.schema, rows.orderBy("start").collect()
+    kept = [r for r in every if r["pack"] != every[-1]["pack"]] if whole_pack else every[:3] + every[4:]
+    assert 0 < len(kept) < len(every) == token_store.verify(spark, store).count()
+    spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{store}/docs")
+    with pytest.raises(ValueError, match="differs from the manifest"):
+        token_store.verify(spark, store)
+
+
 def test_encoder_on_random_strings(tokenizer):
     path, t = tokenizer
     rng = random.Random(3)
