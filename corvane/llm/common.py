@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where none is named."""
+    """A new folder below the shared one that the cluster names in spark.checkpoint.dir; where none is named, below a local
+    one if driver and executors are one process, else an error, as other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corvane-shared")
     return f"{base}/corvane-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputing."""
     path = f"{work_dir(df.sparkSession)}/{name}"
@@ -34,6 +44,13 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            delete(df.sparkSession, folder.rsplit("/", 1)[0])
+
+
 def words_of(text: Column | str) -> Column:
     """Number of white-space separated words; null has none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -5,55 +5,69 @@ last eight ids has zeros in its top bits, so that equal passages give equal chun
 by the BLAKE2b-128 of its ids (little-endian, 32 bits) and stored once; a document is a recipe of chunk names.
 
 Files, all Parquet, below one folder:
-  chunks/   digest, n, width, data   unique chunks; data is the ids, width (2 or 4) bytes each, in pages compressed with
-                                     zstd
-  docs/     doc_id, start, n_tokens, digests, lens, root, pack, seq   in ascending doc_id order over the packs
+  chunks/   digest, n, width, uses, data   unique chunks; data is the ids, width (2 or 4) bytes each, in pages compressed
+                                           with zstd
+  docs/     doc_id, at, n_tokens, digests, lens, root, pack, seq   one file a pack, packs and their rows in ascending
+                                                                   order of doc_id; at counts from the pack's start
   manifest/ pack, n_docs, n_tokens, start, root   Merkle roots over the documents' roots of a pack
+  top/      n_packs, n_docs, n_tokens, root       one row, over the packs
 
 Memory is bounded by a batch; the only rows that are brought together are unique chunks (by digest, pre-aggregated in
-each batch and each map task) and recipes (by ranges of doc_id). A reader checks each chunk against its name and combines
-the chunks' CRC-32s along the recipes, so that verifying moves no ids.
-
-Defined results: null and empty texts are the end id alone; equal texts share all their chunks; rows with equal doc_ids
-or null ones (first) each get a row, in order of their ids' CRC; an empty table gives empty files; further columns of
-documents are ignored.
+each batch and each map task) and recipes (by ranges of doc_id). A reader checks the packs against the manifest and the
+manifest against its top, each chunk against its name, each recipe against its root and its chunks' lengths, and combines
+the chunks' CRC-32s along the recipes, so that verifying moves no ids. Chunks with more than 1/FREQUENT of all uses (at
+most FREQUENT) are answered by broadcast, so that a chunk that very many documents share is no hot key.
+
+Defined results: null and empty texts are the end id alone; equal texts share all their chunks; a very long text is cut
+and stored like others, its recipe (24 bytes a chunk) is one row; rows with equal doc_ids or null ones (first) each get a
+row, in order of their root; an empty table gives empty files; further columns of documents are ignored. A missing or
+changed file of any of the four folders is an error.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
-import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, work_dir
+from .common import delete, map_batches, table, work_dir
 
 END = 0
 LEAST, MOST, SPAN, TOP_BITS = 64, 4096, 8, 9
-#: White space other than a space or a line feed, by Unicode.
-_RARE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Texts that are encoded uncut: runs of white space, a last line feed after another, white space other than a space or a
+#: line feed by Unicode (which includes the marks below).
+_UNCUT = "  |\\n | \\n|\\n\\n\\n|\\n\\n\\z|[\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 #: Stand for "no space before" and for a line feed before a piece; texts that hold them are encoded uncut.
 BARE, FEED = "\x1f", "\x1e"
 
 
-def _spelled() -> dict[int, str]:
-    """Byte-level BPE writes each byte as a character: printable ones as they are, the others from U+0100 on."""
+def _spelled() -> str:
+    """Byte-level BPE writes each byte as a character: printable ones as they are, the others from U+0100 on. Here line
+    feeds stay, as they part the words."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+    spelled = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)} | {10: "\n"}
+    return "".join(spelled[b] for b in range(256))
 
 
 _SPELLED = _spelled()
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of so many items from those starts."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 # ---- encoding -------------------------------------------------------------------------------------------------------
 class Encoder:
     """Ids of whole texts, gathered from those of pieces, each of which is encoded once while it is remembered.
@@ -61,7 +75,8 @@ class Encoder:
     A byte-level BPE's pre-tokenizer always cuts before a space that stands between other characters, around a line feed
     between other characters, and between a letter and a full stop or comma. Texts are cut there, and only there; texts
     with other runs of white space, with rarer white space, or with marks after something else than a letter are encoded
-    uncut. Pieces are found and remembered as Arrow arrays; only new ones become Python strings."""
+    uncut. Pieces are found and remembered as Arrow arrays; new ones are encoded together, and the ids are dealt back to
+    them by the lengths of their tokens."""
 
     def __init__(self, path: str, remember: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel; a thread pool in each worker only holds memory
@@ -69,6 +84,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes that each token stands for.
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
         self.remember = remember
         self.feed = self._encode(["\n"])[0]
         self._forget()
@@ -79,56 +99,78 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 1024):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
+        for i in range(0, len(texts), 256):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
         return out
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Parts have no white space but a first space, so line feeds between them are tokens of their own."""
-        if len(self.feed) != 4:
-            return self._encode(parts)
-        out: list[bytes] = []
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4"))
-            if len(cuts) != len(some) - 1:
-                out += self._encode(some)
-                continue
-            raw, ends = ids.tobytes(), (4 * cuts).tolist()
-            out += [raw[a:b] for a, b in zip([0, *[c + 4 for c in ends]], [*ends, len(raw)], strict=True)]
-        return out
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words of letters after a space are one pre-token each; the BPE model takes them without the steps before it."""
-        merge, spell = self.tokenizer.model.tokenize, _SPELLED
-        return [array("I", [t.id for t in merge((" " + x).encode().decode("latin-1").translate(spell))]).tobytes() for x in words]
+    def _encode_runs(self, runs: pa.Array, lead: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each has, of runs of characters that are one pre-token each after `lead` (nothing or a space);
+        the BPE model takes them, spelled in its characters, without the steps before it."""
+        ids, sizes, merge = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], self.tokenizer.model.tokenize
+        gap = np.frombuffer(b"\n" + lead, np.uint8)
+        for i in range(0, len(runs), 1 << 15):
+            some = pa.concat_arrays([runs[i : i + (1 << 15)]])
+            at = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+            lengths = np.diff(at)
+            lines = np.empty(at[-1] - at[0] + len(gap) * len(some), np.uint8)
+            inside = np.ones(len(lines), bool)
+            starts = at[:-1] - at[0] + len(gap) * np.arange(len(some))
+            for j, x in enumerate(gap):
+                lines[starts + j], inside[starts + j] = x, False
+            lines[inside] = np.frombuffer(some.buffers()[2], np.uint8)[at[0] : at[-1]]
+            spelled = codecs.charmap_decode(lines[1:].tobytes(), "strict", _SPELLED)[0]
+            own = np.array([t.id for x in spelled.split("\n") for t in merge(x)], "<u4")
+            # every byte is in a token, so the bytes tell whose tokens they are
+            ends = np.searchsorted(np.cumsum(self.lengths[own]), np.cumsum(lengths + len(lead))) + 1
+            ids.append(own)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode_others(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = self._encode(parts)
+        return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+    def _add(self, new: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
 
     def _learn(self, new: pa.Array) -> None:
-        words, parts, fed, alone = [], [], [], []
-        for k, x in enumerate(new.to_pylist()):
-            if x.isalpha():
-                words.append((k, x))
-            elif not x:  # a last space
-                alone.append((k, " "))
-            elif x[0] == BARE:
-                parts.append((k, x[1:]))
-            elif x[0] == FEED:
-                fed.append((k, x[1:]))
-            else:
-                parts.append((k, " " + x))
-        own: list[bytes] = [b""] * len(new)
-        for some, ids in (
-            (words, self._encode_words([x for _, x in words])),
-            (parts, self._encode_parts([x for _, x in parts]) if parts else []),
-            (alone, self._encode([x for _, x in alone])),
-            (fed, [self.feed + y for y in self._encode([x for _, x in fed])]),
-        ):
-            for (k, _), y in zip(some, ids, strict=True):
-                own[k] = y
-        self.pieces = pa.concat_arrays([self.pieces, new])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(own), "<u4")])
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, own), np.int64, len(own)) // 4])
+        """Remembers new pieces, by kinds: words of letters, such with other signs after them, letters after a line feed,
+        and the rest."""
+        words = pc.utf8_is_alpha(new)
+        ended = pc.and_not(pc.match_substring_regex(new, r"^\pL+[^\pL\pN\s']+$"), words)
+        fed = pc.match_substring_regex(new, f"^{FEED}\\pL+$")
+        rest = pc.invert(pc.or_(pc.or_(words, ended), fed))
+        words, ended, fed, rest = (new.filter(x) for x in (words, ended, fed, rest))
+        heads = tails = None
+        if len(ended):
+            both = pc.extract_regex(ended, r"^(?P<head>\pL+)(?P<tail>[^\pL\pN\s']+)$")
+            heads, tails = both.field("head").dictionary_encode(), both.field("tail").dictionary_encode()
+            more = heads.dictionary.filter(pc.equal(pc.index_in(heads.dictionary, value_set=self.pieces).fill_null(-1), -1))
+            words = pc.unique(pa.concat_arrays([words, more]))
+        self._add(words, *self._encode_runs(words, b" "))
+        if len(ended):
+            # their ids are those of the word and those of the signs
+            place = self._find(heads.dictionary)[heads.indices.to_numpy()]
+            tail_ids, tail_sizes = self._encode_runs(tails.dictionary)
+            tail = tails.indices.to_numpy()
+            n, m = self.sizes[place], tail_sizes[tail]
+            ids = np.empty((n + m).sum(), "<u4")
+            starts = np.cumsum(n + m) - (n + m)
+            ids[_spread(starts, n)] = self.ids[_spread((np.cumsum(self.sizes) - self.sizes)[place], n)]
+            ids[_spread(starts + n, m)] = tail_ids[_spread((np.cumsum(tail_sizes) - tail_sizes)[tail], m)]
+            self._add(ended, ids, n + m)
+        if len(fed):
+            ids, sizes = self._encode_runs(pc.utf8_slice_codeunits(fed, 1))
+            feed = np.frombuffer(self.feed, "<u4")
+            out = np.empty(len(ids) + len(feed) * len(fed), "<u4")
+            starts = np.cumsum(sizes + len(feed)) - (sizes + len(feed))
+            for j, x in enumerate(feed):
+                out[starts + j] = x
+            out[_spread(starts + len(feed), sizes)] = ids
+            self._add(fed, out, sizes + len(feed))
+        parts = [x[1:] if x[:1] == BARE else "\n" + x[1:] if x[:1] == FEED else " " + x for x in rest.to_pylist()]
+        self._add(rest, *self._encode_others(parts))
 
     def _find(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece is remembered; -1 for new ones."""
@@ -137,27 +179,23 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        whole, cut, marked = [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "  " in t or "\n " in t or " \n" in t or "\n\n\n" in t or t[-2:] == "\n\n" or _RARE.search(t):
-                whole.append(i)
-            else:
-                cut.append(i)
-                marked.append(t.replace(", ", f" {BARE}, ").replace(". ", f" {BARE}. ").replace(".\n", f" {BARE}.\n").replace("\n", f" {FEED}"))
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNCUT).fill_null(False).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(odd).tolist()
+        cut = [i for i, t in enumerate(texts) if t and not odd[i]]
         if cut:
-            lists = pc.split_pattern(pa.array(marked, pa.large_string()), pattern=" ")
+            marked = pa.array([texts[i].replace(", ", f" {BARE}, ").replace(". ", f" {BARE}. ").replace(".\n", f" {BARE}.\n").replace("\n", f" {FEED}") for i in cut], pa.large_string())
+            lists = pc.split_pattern(marked, pattern=" ")
             del marked
             at = lists.offsets.to_numpy()
             coded = lists.values.dictionary_encode()
+            del lists
             which, distinct = coded.indices.to_numpy(), coded.dictionary
             # a mark must stand after a letter, within the text
             at_mark = np.flatnonzero(pc.starts_with(distinct, BARE).to_numpy(zero_copy_only=False)[which])
             before = which[np.maximum(at_mark - 1, 0)]
-            some = np.unique(before)
+            some = np.flatnonzero(np.bincount(before, minlength=len(distinct)))
             letter = np.zeros(len(distinct), bool)
-            letter[some] = [x[-1:].isalpha() for x in distinct.take(pa.array(some)).to_pylist()]
+            letter[some] = pc.utf8_is_alpha(pc.utf8_slice_codeunits(distinct.take(pa.array(some)), -1)).to_numpy(zero_copy_only=False)
             first = np.zeros(len(which) + 1, bool)
             first[at[:-1]] = True
             wrong = {*np.searchsorted(at, at_mark[~letter[before] | first[at_mark]], side="right").tolist()}
@@ -165,22 +203,21 @@ class Encoder:
             if len(self.pieces) > self.remember:
                 self._forget()
             found = self._find(distinct)
-            fresh = found < 0
-            if fresh.any():
-                found[fresh] = len(self.pieces) + np.arange(fresh.sum())
-                self._learn(distinct.filter(pa.array(fresh)))
-            starts = np.cumsum(self.sizes) - self.sizes
+            fresh = pa.array(found < 0)
+            if pc.any(fresh).as_py():
+                self._learn(distinct.filter(fresh))
+                found = self._find(distinct)
             place = found[which]
             n = self.sizes[place]
             n[at[:-1]] = 0
             ends = np.cumsum(n)
-            gathered = self.ids[np.arange(ends[-1]) + np.repeat(starts[place] - (ends - n), n)]
-            bounds = [0, *ends[at[1:] - 1].tolist()]
+            gathered = self.ids[_spread((np.cumsum(self.sizes) - self.sizes)[place], n)].tobytes()
+            bounds = [0, *(4 * ends[at[1:] - 1]).tolist()]
             for k, (i, head, a, b) in enumerate(zip(cut, self._encode(heads), bounds, bounds[1:], strict=False)):
                 if k + 1 in wrong:
                     whole.append(i)
                 else:
-                    out[i] = head + gathered[a:b].tobytes()
+                    out[i] = head + gathered[a:b]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
@@ -300,7 +337,8 @@ def crc_whole(bare: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 # ---- writing --------------------------------------------------------------------------------------------------------
-STAGED = "doc_id long, n_tokens long, digests binary, lens array<int>, root binary, digest binary, n int, width int, data binary"
+STAGED = "doc_id long, n_tokens long, digests binary, lens array<int>, root binary, digest binary, n int, width int, uses long, data binary"
+FAN, FREQUENT = 4096, 4096
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -> None:
@@ -312,8 +350,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -
         tail = np.array([end_id], dtype="<u4").tobytes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict = {k: [] for k in ("doc_id", "n_tokens", "digests", "lens", "root", "digest", "n", "width", "data")}
-            seen: dict[bytes, tuple[int, int]] = {}
+            out: dict = {k: [] for k in ("doc_id", "n_tokens", "digests", "lens", "root", "digest", "n", "width", "uses", "data")}
+            seen: dict[bytes, list[int]] = {}
             raw = [r + tail for r in encode(batch.column("text").to_pylist())]
             ids = np.frombuffer(b"".join(raw), "<u4")
             stops = np.cumsum([len(r) // 4 for r in raw])
@@ -325,8 +363,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -
                 ends = cut_points((marks[first:last] - start).tolist(), stop - start)
                 for b in ends:
                     names.append(name := name_of(r[4 * a : 4 * b]))
-                    if name not in seen:
-                        seen[name] = (start + a, start + b)
+                    if name in seen:
+                        seen[name][2] += 1
+                    else:
+                        seen[name] = [start + a, start + b, 1]
                     a = b
                 out["n_tokens"].append(stop - start)
                 out["digests"].append(b"".join(names))
@@ -341,9 +381,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -
             out["digest"] = [None] * docs + list(seen)
             width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
             packed = ids.astype(f"<u{width}").tobytes()
-            out["n"] = [None] * docs + [b - a for a, b in seen.values()]
+            out["n"] = [None] * docs + [b - a for a, b, _ in seen.values()]
             out["width"] = [None] * docs + [width] * chunks
-            out["data"] = [None] * docs + [packed[width * a : width * b] for a, b in seen.values()]
+            out["uses"] = [None] * docs + [n for _, _, n in seen.values()]
+            out["data"] = [None] * docs + [packed[width * a : width * b] for a, b, _ in seen.values()]
             return out
 
         return run
@@ -351,7 +392,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -
     both = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, STAGED, 16 << 20)
     both.write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.schema(both.schema).parquet(f"{path}/staged")
-    chunks = staged.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("width").alias("width"), F.first("data").alias("data"))
+    first = [F.first(c).alias(c) for c in ("n", "width")]
+    chunks = staged.where("digest IS NOT NULL").groupBy("digest").agg(*first, F.sum("uses").alias("uses"), F.first("data").alias("data"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     recipes = staged.where("digest IS NULL").select("doc_id", "n_tokens", "digests", "lens", "root")
@@ -364,40 +406,54 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -
         for batch in batches:
             n = np.array(batch.column("n_tokens"), dtype=np.int64)
             ends = start + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), pack, np.int32)), pa.array(seq + np.arange(len(n), dtype=np.int64)), pa.array(ends - n)], names=[*batch.schema.names, "pack", "seq", "start"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), pack, np.int32)), pa.array(seq + np.arange(len(n), dtype=np.int64)), pa.array(ends - n)], names=[*batch.schema.names, "pack", "seq", "at"])
             seq, start = seq + len(n), int(ends[-1]) if len(n) else start
 
-    numbered = ranged.mapInArrow(number, "doc_id long, n_tokens long, digests binary, lens array<int>, root binary, pack int, seq long, start long")
-    numbered.write.option("compression", "zstd").parquet(f"{path}/numbered")
-    numbered = spark.read.schema(numbered.schema).parquet(f"{path}/numbered")
+    # a task writes its pack as one file, and files are named in the packs' order
+    numbered = ranged.mapInArrow(number, "doc_id long, n_tokens long, digests binary, lens array<int>, root binary, pack int, seq long, at long")
+    numbered.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{path}/docs")
+    delete(spark, f"{path}/staged")
+    _packs(spark, path).write.parquet(f"{path}/manifest")
+    _top(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
+
 
-    packs = numbered.groupBy("pack").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    packs = packs.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("pack", "before")
-    final = numbered.join(packs, "pack").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "digests", "lens", "root", "pack", "seq")
-    final.write.option("compression", "zstd").parquet(f"{path}/docs")
-    _manifest(spark, path).write.parquet(f"{path}/manifest")
+def _rolled(column: str) -> Column:
+    """Digest of the roots in an array of structs, in its order."""
+    return F.unhex(F.sha2(F.concat(F.lit(b"\1"), F.expr(f"aggregate({column}, cast('' as binary), (a, p) -> concat(a, p.root))")), 256))
 
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Roots of the packs, each over at most FAN documents' roots and then over those of its parts."""
-    fan = 4096
-    docs = spark.read.parquet(f"{path}/docs").select("pack", "seq", "start", "n_tokens", "root").withColumn("part", F.floor(F.col("seq") / fan))
+def _packs(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest that docs/ should have. Roots of the packs, each over at most FAN documents' roots and then over those
+    of its parts; one row a file afterwards, so the window over them is small."""
+    docs = spark.read.parquet(f"{path}/docs").select("pack", "seq", "at", "n_tokens", "root").withColumn("part", F.floor(F.col("seq") / FAN))
 
     def roots(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("seq")
-        return pd.DataFrame({"pack": pdf["pack"].iloc[:1], "part": pdf["part"].iloc[:1], "n_docs": [len(pdf)], "n_tokens": [pdf["n_tokens"].sum()], "start": [pdf["start"].min()], "root": [merkle([bytes(x) for x in pdf["root"]])]})
+        n = pdf["n_tokens"].to_numpy()
+        first = int(pdf["at"].iloc[0])
+        whole = np.array_equal(pdf["at"].to_numpy(), first + np.cumsum(n) - n) and np.array_equal(pdf["seq"].to_numpy(), pdf["part"].to_numpy() * FAN + np.arange(len(pdf)))
+        return pd.DataFrame({"pack": pdf["pack"].iloc[:1], "part": pdf["part"].iloc[:1], "n_docs": [len(pdf)], "n_tokens": [n.sum()], "root": [merkle([bytes(x) for x in pdf["root"]]) if whole else b"broken"]})
 
-    parts = docs.groupBy("pack", "part").applyInPandas(roots, "pack int, part long, n_docs long, n_tokens long, start long, root binary")
-    whole = parts.groupBy("pack").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("part", "root"))).alias("parts"))
-    return whole.select("pack", "n_docs", "n_tokens", "start", F.unhex(F.sha2(F.concat(F.lit(b"\1"), F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.root))")), 256)).alias("root"))
+    parts = docs.groupBy("pack", "part").applyInPandas(roots, "pack int, part long, n_docs long, n_tokens long, root binary")
+    whole = parts.groupBy("pack").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "root"))).alias("parts"))
+    before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
+    return whole.select("pack", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), _rolled("parts").alias("root"))
+
+
+def _top(packs: DataFrame) -> DataFrame:
+    some = packs.groupBy(F.floor(F.col("pack") / FAN).alias("pack")).agg(
+        F.count(F.lit(1)).alias("n_packs"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("pack", "start", "root"))).alias("parts")
+    )
+    some = some.select("pack", "n_packs", "n_docs", "n_tokens", _rolled("parts").alias("root"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_packs", "n_docs", "n_tokens")]
+    return some.agg(*sums, F.sort_array(F.collect_list(F.struct("pack", "root"))).alias("parts")).select("n_packs", "n_docs", "n_tokens", _rolled("parts").alias("root"))
 
 
 # ---- reading --------------------------------------------------------------------------------------------------------
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """digest, n, bare: each chunk, checked against its name, with the bare CRC-32 of its ids."""
+def read_chunks(spark: SparkSession, path: str, which: str = "true") -> DataFrame:
+    """digest, n, bare: each chunk of those, checked against its name, with the bare CRC-32 of its ids."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -420,15 +476,20 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
         return run
 
-    return map_batches(spark.read.parquet(f"{path}/chunks").select("digest", "width", "data"), make, "digest binary, n long, bare long")
+    chunks = spark.read.parquet(f"{path}/chunks").where(which)
+    return map_batches(chunks.select("digest", "width", "data"), make, "digest binary, n long, bare long")
 
 
 def check_manifest(spark: SparkSession, path: str) -> None:
-    """Fails if the packs of docs/ are not those of manifest/, by counts, start and root."""
+    """Fails if the packs of docs/ are not those of manifest/, by number, counts, start and root, or if the manifest is not
+    what top/ says."""
+    told = spark.read.parquet(f"{path}/manifest")
+    top = [tuple(r) for r in spark.read.parquet(f"{path}/top").collect()]  # one row
+    if top != [tuple(r) for r in _top(told).collect()]:
+        raise ValueError("the manifest differs from its top")
     packed = F.struct("n_docs", "n_tokens", "start", "root")
-    found = _manifest(spark, path).select("pack", packed.alias("found"))
-    told = spark.read.parquet(f"{path}/manifest").select("pack", packed.alias("told"))
-    wrong = found.join(told, "pack", "full").where("NOT found <=> told").select("pack").limit(1).collect()
+    found = _packs(spark, path).select("pack", packed.alias("found"))
+    wrong = found.join(told.select("pack", packed.alias("told")), "pack", "full").where("NOT found <=> told").select("pack").limit(1).collect()
     if wrong:
         raise ValueError(f"pack {wrong[0]['pack']} differs from the manifest")
 
@@ -439,34 +500,46 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict = {"start": [], "digest": [], "rest": []}
-            for start, names, lens, root in zip(*(batch.column(c).to_pylist() for c in ("start", "digests", "lens", "root")), strict=True):
+            out: dict = {k: [] for k in ("start", "digest", "rest", "len", "doc_id", "n_tokens", "high", "low")}
+            for doc_id, start, names, lens, n, root in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "digests", "lens", "n_tokens", "root")), strict=True):
                 leaves = [names[i : i + 16] for i in range(0, len(names), 16)]
-                if merkle(leaves) != root:
+                if merkle(leaves) != root or len(leaves) != len(lens):
                     raise ValueError(f"the recipe at {start} is damaged")
-                ends = np.cumsum(lens)
+                ends, nothing = np.cumsum(lens), [None] * (len(leaves) - 1)
                 out["start"] += [start] * len(leaves)
                 out["digest"] += leaves
                 out["rest"] += (4 * (ends[-1] - ends)).tolist()
+                out["len"] += lens
+                for k, v in (("doc_id", doc_id), ("n_tokens", n), ("high", int.from_bytes(root[:8], "big", signed=True)), ("low", int.from_bytes(root[8:], "big", signed=True))):
+                    out[k].append(v)
+                    out[k] += nothing
             return out
 
         return run
 
-    docs = spark.read.parquet(f"{path}/docs")
-    uses = map_batches(docs.select("start", "digests", "lens", "root"), make, "start long, digest binary, rest long")
-    joined = uses.join(read_chunks(spark, path), "digest", "left")
+    docs = spark.read.parquet(f"{path}/docs").join(spark.read.parquet(f"{path}/manifest").select("pack", F.col("start").alias("before")), "pack").withColumn("start", F.col("before") + F.col("at"))
+    uses = map_batches(docs.select("doc_id", "start", "digests", "lens", "n_tokens", "root"), make, "start long, digest binary, rest long, len int, doc_id long, n_tokens long, high long, low long")
+    often = int((spark.read.parquet(f"{path}/chunks").agg(F.sum("uses")).first()[0] or 0) // FREQUENT) + 1000
+    known = [read_chunks(spark, path, f"uses {op} {often}").select("digest", F.col("n").alias(f"n_{k}"), F.col("bare").alias(f"bare_{k}")) for k, op in (("often", ">"), ("else", "<="))]
+    uses = uses.join(F.broadcast(known[0]), "digest", "left")
+    # answered uses keep out of the others' join, each under a key of its own
+    uses = uses.withColumn("digest", F.when(F.col("n_often").isNull(), F.col("digest")).otherwise(F.encode(F.col("start").cast("string"), "UTF-8")))
+    joined = uses.join(known[1], "digest", "left").withColumn("n", F.coalesce("n_often", "n_else")).withColumn("bare", F.coalesce("bare_often", "bare_else"))
 
     def make_shift():
         def run(batch: pa.RecordBatch) -> dict:
             if batch.column("bare").null_count:
                 raise ValueError("a chunk is missing")
+            if not np.array_equal(batch.column("n"), batch.column("len")):
+                raise ValueError("a recipe's length is wrong")
             bare = np.array(batch.column("bare"), dtype=np.int64).astype(np.uint32)
-            return {"at": batch.column("start"), "part": crc_shift(bare, np.array(batch.column("rest"), dtype=np.int64)).astype(np.int64), "n": batch.column("n")}
+            return {c: batch.column(c) for c in ("start", "n", "doc_id", "n_tokens", "high", "low")} | {"part": crc_shift(bare, np.array(batch.column("rest"), dtype=np.int64)).astype(np.int64)}
 
         return run
 
-    parts = map_batches(joined.select("start", "rest", "bare", "n"), make_shift, "at long, part long, n long")
-    whole = parts.groupBy("at").agg(F.bit_xor("part").alias("bare"), F.sum("n").alias("n"))
+    parts = map_batches(joined.select("start", "rest", "bare", "n", "len", "doc_id", "n_tokens", "high", "low"), make_shift, "start long, part long, n long, doc_id long, n_tokens long, high long, low long")
+    own = [F.max(c).alias(c) for c in ("doc_id", "n_tokens", "high", "low")]  # of one row each
+    whole = parts.groupBy("start").agg(F.bit_xor("part").alias("bare"), F.sum("n").alias("n"), *own)
 
     def make_whole():
         def run(batch: pa.RecordBatch) -> dict:
@@ -474,18 +547,18 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             if not np.array_equal(n, np.array(batch.column("n_tokens"), dtype=np.int64)):
                 raise ValueError("a recipe's length is wrong")
             crc = crc_whole(np.array(batch.column("bare"), dtype=np.int64).astype(np.uint32), 4 * n).astype(np.int64)
-            return {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": batch.column("n_tokens"), "ids_crc32": crc, "root": batch.column("root")}
+            roots = np.stack([np.array(batch.column(c), dtype=">i8") for c in ("high", "low")], axis=1).tobytes()
+            return {c: batch.column(c) for c in ("doc_id", "start", "n_tokens")} | {"ids_crc32": crc, "root": [roots[i : i + 16] for i in range(0, len(roots), 16)]}
 
         return run
 
-    full = docs.select("doc_id", "start", "n_tokens", "root").join(whole, F.col("start") == F.col("at"))
-    return map_batches(full.select("doc_id", "start", "n_tokens", "root", "bare", "n"), make_whole, "doc_id long, start long, n_tokens long, ids_crc32 long, root binary")
+    return map_batches(whole, make_whole, "doc_id long, start long, n_tokens long, ids_crc32 long, root binary")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids: the documents put together again from their chunks."""
-    docs = spark.read.parquet(f"{path}/docs")
-    uses = docs.select("doc_id", "start", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lens") - 1), lambda i: F.substring(F.col("digests"), i * 16 + 1, F.lit(16)))).alias("k", "digest"))
+    docs = spark.read.parquet(f"{path}/docs").join(spark.read.parquet(f"{path}/manifest").select("pack", F.col("start").alias("before")), "pack")
+    uses = docs.select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lens") - 1), lambda i: F.substring(F.col("digests"), i * 16 + 1, F.lit(16)))).alias("k", "digest"))
     full = uses.join(spark.read.parquet(f"{path}/chunks").select("digest", "width", "data"), "digest")
 
     def gather(pdf):

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, fingerprint, mixing, near_dedup, queries, repeats, shard_pack, token_counts, token_store, toxicity, url_rules
 
@@ -86,27 +89,63 @@ def test_token_store_sees_damage(spark, docs, tokenizer, tmp_path):
     spark.createDataFrame(kept, chunks.schema).write.mode("overwrite").parquet(f"{store}/chunks")
     with pytest.raises(Exception, match="missing"):
         token_store.verify(spark, store).collect()
-    other = [(r["digest"], r["n"], r["width"], kept[0]["data"]) for r in kept]
+    other = [(r["digest"], r["n"], r["width"], r["uses"], kept[0]["data"]) for r in kept]
     spark.createDataFrame(other, chunks.schema).write.mode("overwrite").parquet(f"{store}/chunks")
     with pytest.raises(Exception, match="damaged"):
         token_store.read_chunks(spark, store).collect()
 
 
-@pytest.mark.parametrize("whole_pack", [False, True])
-def test_token_store_sees_missing_documents(spark, docs, tokenizer, tmp_path, whole_pack):
-    store = f"file://{tmp_path}/store"
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several packs
+@pytest.fixture(scope="module")
+def packs(spark, docs, tokenizer, tmp_path_factory):
+    """A store of several packs."""
+    store = tmp_path_factory.mktemp("store") / "s"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        token_store.write_store(docs, store, tokenizer[0])
+        token_store.write_store(docs, f"file://{store}", tokenizer[0])
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    rows = spark.read.parquet(f"{store}/docs")
-    schema, every = rows.schema, rows.orderBy("start").collect()
-    kept = [r for r in every if r["pack"] != every[-1]["pack"]] if whole_pack else every[:3] + every[4:]
-    assert 0 < len(kept) < len(every) == token_store.verify(spark, store).count()
-    spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{store}/docs")
-    with pytest.raises(ValueError, match="differs from the manifest"):
-        token_store.verify(spark, store)
+    return store
+
+
+def test_token_store_files_ascend(spark, packs):
+    files = sorted(f for f in (packs / "docs").iterdir() if f.name.startswith("part-"))
+    rows = [r["doc_id"] for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 1 and rows == sorted(rows) and len(rows) == len(data.texts())
+    assert sorted(x.name for x in packs.iterdir()) == ["chunks", "docs", "manifest", "top"]
+
+
+@pytest.mark.parametrize("lost", ["row", "pack", "file", "pack and manifest", "manifest", "top", "order"])
+def test_token_store_sees_lost_files(spark, packs, tmp_path, lost):
+    store = tmp_path / "s"
+    shutil.copytree(packs, store)
+    assert token_store.verify(spark, f"file://{store}").count() == len(data.texts())
+    docs, manifest = (spark.read.parquet(f"file://{packs}/{x}") for x in ("docs", "manifest"))
+    last = docs.selectExpr("max(pack)").first()[0]
+    if lost == "file":
+        for f in [f for f in (store / "docs").iterdir() if f.name.endswith(".parquet")][:1]:
+            f.unlink()
+            (store / "docs" / f".{f.name}.crc").unlink(missing_ok=True)
+    if lost == "row":
+        docs.where("NOT (pack = 0 AND seq = 1)").write.mode("overwrite").parquet(f"file://{store}/docs")
+    if lost == "order":
+        docs.withColumn("seq", F.when(F.col("pack") == 0, 1 - F.col("seq")).otherwise(F.col("seq"))).write.mode("overwrite").parquet(f"file://{store}/docs")
+    if "pack" in lost:
+        docs.where(f"pack < {last}").write.mode("overwrite").parquet(f"file://{store}/docs")
+    if lost == "pack and manifest":
+        manifest.where(f"pack < {last}").write.mode("overwrite").parquet(f"file://{store}/manifest")
+    if lost in ("manifest", "top"):
+        shutil.rmtree(store / lost)
+    with pytest.raises(Exception, match="differs from|PATH_NOT_FOUND"):
+        token_store.verify(spark, f"file://{store}").collect()
+
+
+def test_token_store_answers_frequent_chunks(spark, tokenizer, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FREQUENT", 4)
+    rows = [(i, ["", "the very same text", data.words(i, 30)][i % 3 if i < 3000 else 2], "s") for i in range(3100)]
+    token_store.write_store(data.frame(spark, rows), f"file://{tmp_path}/s", tokenizer[0])
+    got = sorted(collected(token_store.verify(spark, f"file://{tmp_path}/s").select("doc_id", "n_tokens", "ids_crc32")))
+    ids = {t: encoded(tokenizer[1], t) for _, t, _ in rows}
+    assert got == [(d, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for d, t, _ in rows]
 
 
 def test_encoder_on_random_strings(tokenizer):
