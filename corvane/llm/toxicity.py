@@ -1,142 +1,234 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 9).
 
-Terms are lower-cased words and their beginnings (4 to 8 bytes of UTF-8, marked `*`), and each of these again marked `+`
-if it is repeated (at least three times). The lexicon is the LEXICON terms that speak most for the label (log-likelihood
-ratio), learned from a bounded sample: at most EXAMPLES labelled rows, drawn by a hash of doc_id. Document frequencies
-of the lexicon's terms are counted over all documents.
-
-The sample's TF-IDF vectors (unit length) stand in an inverted index whose postings are cut into blocks of BLOCK
-examples, each with the largest weight of each term. A query sums the block maxima, visits blocks in descending order of
-that bound and stops when no block can reach the k-th best cosine: the K nearest are exact. They vote with weight
-1 / (1.05 - cosine), the rate of examples without any term being a further vote; votes are calibrated by isotonic
-regression on the sample, each example left out of its own neighbours. Neighbours and matched terms are the evidence.
-
-The index holds at most EXAMPLES vectors and is broadcast with that bound. Rows whose crc32(doc_id as text) mod 5 is 0
-are never learned from. Scores depend on the text alone.
-
-Defined results: a text without lexicon terms (empty and null ones too) scores the calibrated rate of such examples;
-without labels every score is 0; repeated rows score alike; labels with null parts are ignored, and of several labels of
-a doc_id the largest counts; an empty table gives an empty result.
+Terms are lower-cased words, their beginnings of STEMS characters (marked `*`; words that are longer only), and each of
+these again (marked `+`) where it stands at least REPEATED times in the text. The vocabulary is every term of a bounded
+sample of labelled rows: at most EXAMPLES rows in order of a hash of doc_id, of at most EXAMPLE_BYTES bytes together and a
+sixteenth of that each. Document frequencies of all its terms are counted over all documents. A text's vector holds every
+vocabulary term it has, with weight (1 + ln tf) * idf * relevance; relevance is 1 for a term that surely stands with the
+label in the sample and falls to PLAIN, never to 0, for one that tells nothing (by the log-likelihood ratio).
+
+The sample's vectors (unit length) stand in an inverted index whose postings are cut into blocks of BLOCK examples, each
+with the largest weight of each term. A query sums the block maxima, scores the blocks with the highest bounds, and then
+those whose bound reaches the K-th best cosine so far: the K nearest are exact. The DENSE commonest terms, which hardly any
+block lacks, have a full table instead, by which queries are multiplied together; what it gives goes into the bounds. The
+K nearest vote with weight 1 / (1.05 - cosine), the sample's rate being a further vote; votes are calibrated by isotonic regression on the sample. Examples whose text is
+the scored text itself are left out, in calibration and in scoring alike, so that no label is an input of its own score.
+Neighbours and the heaviest terms are the evidence.
+
+What comes to the driver and is broadcast is bounded by the sample. Rows whose
+crc32(doc_id as text) mod 5 is 0 are never learned from. Scores depend on the text alone.
+
+Defined results: a text without vocabulary terms (empty and null ones too) has no neighbour, and its vote is the sample's
+rate; a very long text is one vector like others, held with its batch; without labels every score is 0; repeated rows
+score alike; of several texts of a labelled doc_id the smallest is learned; labels with null parts are ignored, and of
+several labels of a doc_id the largest counts; an empty table gives an empty result; further columns of documents are
+ignored by score() and kept by drop_toxic().
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, table
+from .common import map_batches, slices, stage, table, unstage
 from .decontaminate import FOLD
+from .token_store import _spread
 
-EXAMPLES, LEXICON, K, BLOCK = 12_000, 200, 25, 64
-STEMS = (4, 5, 6, 7, 8)
+EXAMPLES, EXAMPLE_BYTES, K, BLOCK = 4_000, 64 << 20, 25, 64
+STEMS = (5,)
 REPEATED = 3
+#: Relevance of a term that tells nothing, and the log-likelihood ratio at which relevance is a half.
+PLAIN, TELLING = 0.1, 20.0
+CHUNK = 1 << 14
+#: Terms whose weights stand in a full table, and queries multiplied by it at a time.
+DENSE, QUERIES = 1536, 256
+_STAR, _PLUS, _NONE = (pa.scalar(x, pa.large_string()) for x in ("*", "+", ""))
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    return [word, *(word[:k] + b"*" for k in STEMS if len(word) > k)]
-
-
-def count_terms(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter((text or "").lower().encode().translate(FOLD).split()).items():
-        for t in terms_of(w):
-            out[t] += n
-    for t, n in list(out.items()):
-        if n >= REPEATED:
-            out[t + b"+"] = 1
-    return out
-
-
-class Lexicon:
-    """Counts the lexicon's terms in a text; what a word contributes is remembered."""
-
-    def __init__(self, terms: list[bytes], remember: int = 300_000):
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.repeated = {i: self.at[t + b"+"] for t, i in self.at.items() if t + b"+" in self.at}
-        # a repeated term counts even where the plain one is not in the lexicon
-        self.extra = {t[:-1]: i for t, i in self.at.items() if t.endswith(b"+") and t[:-1] not in self.at}
-        self.known: dict[bytes, tuple] = {}
-        self.remember = remember
-
-    def _look(self, word: bytes) -> tuple:
-        if len(self.known) > self.remember:
-            self.known.clear()
-        found = tuple((self.at.get(t, -1), self.extra.get(t, -1)) for t in terms_of(word) if t in self.at or t in self.extra)
-        self.known[word] = found
-        return found
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        counts: dict[int, int] = {}
-        more: dict[int, int] = {}
-        known = self.known
-        for w in (text or "").lower().encode().translate(FOLD).split():
-            found = known.get(w)
-            if found is None:
-                found = self._look(w)
-            for i, j in found:
-                if i >= 0:
-                    counts[i] = counts.get(i, 0) + 1
-                else:
-                    more[j] = more.get(j, 0) + 1
-        for i, n in list(counts.items()):
-            if n >= REPEATED and i in self.repeated:
-                counts[self.repeated[i]] = 1
-        for j, n in more.items():
-            if n >= REPEATED:
-                counts[j] = 1
-        return counts
-
-
+# ---- terms ----------------------------------------------------------------------------------------------------------
+def words_in(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Document of each word, its place among the distinct words, and the distinct words' terms by kind: the word, and for
+    each of STEMS its beginning, null where it is not longer."""
+    raw = [(t or "").lower().encode() for t in texts]
+    ends = np.cumsum([0, *(len(r) + 1 for r in raw)], dtype=np.int64)
+    blob = b"".join(r + b" " for r in raw).translate(FOLD)
+    lines = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blob)])
+    lists = pc.split_pattern(lines, pattern=" ")
+    coded = lists.values.dictionary_encode()
+    doc = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy()))
+    which, distinct = coded.indices.to_numpy(), coded.dictionary
+    empty = pc.index(distinct, "").as_py()
+    some = which != empty
+    length = pc.utf8_length(distinct)
+    kinds = [distinct, *(pc.if_else(pc.greater(length, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(distinct, 0, k), _STAR, _NONE), pa.scalar(None, pa.large_string())) for k in STEMS)]
+    return doc[some], which[some], kinds
+
+
+def counts_of(texts: list[str | None], known: pa.Array, plus: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place in `known` and count of each term, in this order. plus: each term's place with +, or -1."""
+    doc, which, kinds = words_in(texts)
+    if not len(known) or not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    places = [pc.index_in(k, value_set=known).fill_null(-1).to_numpy().astype(np.int64) for k in kinds]
+    keys = []
+    for place in places:
+        term = place[which]
+        keys.append((doc * np.int64(len(known)) + term)[term >= 0])
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    doc, term = np.divmod(key, len(known))
+    again = np.flatnonzero((n >= REPEATED) & (plus[term] >= 0))
+    doc, term, n = np.concatenate([doc, doc[again]]), np.concatenate([term, plus[term[again]]]), np.concatenate([n, np.ones(len(again), n.dtype)])
+    order = np.lexsort((term, doc))
+    return doc[order], term[order], n[order].astype(float)
+
+
+class Sample:
+    """The vocabulary of the examples and their counts."""
+
+    def __init__(self, texts: list[str | None]):
+        _, _, kinds = words_in(texts)
+        plain = pc.unique(pa.concat_arrays([k.drop_null() for k in kinds]))
+        plain = plain.filter(pc.not_equal(plain, "")).sort()
+        _, term, n = counts_of(texts, plain, np.full(len(plain), -1))
+        more = np.unique(term[n >= REPEATED])
+        self.known = pa.concat_arrays([plain, pc.binary_join_element_wise(plain.take(pa.array(more)), _PLUS, _NONE)])
+        self.plus = np.full(len(self.known), -1)
+        self.plus[more] = len(plain) + np.arange(len(more))
+        self.doc, self.term, self.n = counts_of(texts, self.known, self.plus)
+        self.size = len(texts)
+
+
+def relevance(sample: Sample, labels: np.ndarray) -> np.ndarray:
+    """Of each term: PLAIN to 1, by the log-likelihood ratio of its being commoner among examples with the label."""
+    size = len(sample.known)
+    up = np.bincount(sample.term, weights=labels[sample.doc].astype(float), minlength=size)
+    n = np.bincount(sample.term, minlength=size).astype(float)
+    all_, all_up = float(len(labels)), float(labels.sum())
+    down, all_down = n - up, all_ - all_up
+
+    def part(x, total, of):  # x * log(observed / expected)
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * total / of, 1e-12)), 0.0)
+
+    def rest(x, total, of):
+        y = total - x
+        return np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / np.maximum((of - n) * total / of, 1e-12)), 0.0)
+
+    ratio = 2 * (part(up, all_up, all_) + part(down, all_down, all_) + rest(up, all_up, all_) + rest(down, all_down, all_))
+    ratio = np.where(up * all_down > 2 * down * all_up, np.maximum(ratio, 0), 0.0)
+    return PLAIN + (1 - PLAIN) * ratio**2 / (ratio**2 + TELLING**2)
+
+
+# ---- the index ------------------------------------------------------------------------------------------------------
 class Index:
     """Block-max inverted index over unit vectors; exact k nearest by cosine."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        # examples with alike vectors share blocks, which makes the bounds sharp
-        self.order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), i))
-        self.block, self.n, self.blocks = block, len(vectors), -(-len(vectors) // block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(self.order):
-            for t, w in vectors[i].items():
-                lists[t].append((at, w))
-        self.ids = [np.array([a for a, _ in p], dtype=np.int32) for p in lists]
-        self.weights = [np.array([w for _, w in p]) for p in lists]
-        self.starts = [np.searchsorted(ids, np.arange(self.blocks + 1) * block) for ids in self.ids]
-        self.most = np.zeros((n_terms, self.blocks))
-        for t, (ids, ws) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.most[t], ids // block, ws)
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example), best first, ties by example; only cosines above 0."""
-        if not query or not self.n:
-            return []
-        terms = list(query)
-        weights = np.array([query[t] for t in terms])
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[k - 1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if hi > lo:
-                    scores[self.ids[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
-            for at in np.flatnonzero(scores > 0):
-                i = self.order[b * self.block + at]
-                if i != skip:
-                    best.append((float(scores[at]), i))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+    def __init__(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK, dense: int = DENSE):
+        """Vectors of n examples as rows (doc, term, weight), in order of doc and term."""
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        # examples with alike vectors share blocks, which makes the bounds sharp: by their heaviest term, then by their
+        # commonest one, which tells languages apart
+        often = np.bincount(term, minlength=n_terms)
+        heaviest, commonest = np.full(n, -1), np.full(n, -1)
+        o = np.lexsort((-term, weight))
+        heaviest[doc[o]] = term[o]
+        o = np.lexsort((-term, often[term]))
+        commonest[doc[o]] = term[o]
+        shared = np.where(heaviest >= 0, often[np.maximum(heaviest, 0)], 0)
+        alone = shared <= n // 100
+        #: Example at each place.
+        self.order = np.lexsort((np.arange(n), heaviest, commonest, np.where(alone, -1, heaviest)))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        at = place[doc]
+        common = np.lexsort((np.arange(n_terms), -often))[:dense]
+        common = common[often[common] > max(4, n // 100)]
+        #: Row of each common term in a full table of weights, or -1.
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        full = self.row[term] >= 0
+        self.rows = len(common)
+        self.filled = self.row[term[full]].astype(np.int32), at[full].astype(np.int32), weight[full]
+        self._table = None
+        at, term, weight = at[~full], term[~full], weight[~full]
+        o = np.lexsort((at, term))
+        at, term, weight = at[o], term[o], weight[o]
+        self.at, self.weight = at.astype(np.int32), weight
+        entry = term * np.int64(self.blocks) + at // block
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+        #: For each other term and block that has it: the block, its largest weight, its postings.
+        self.entry_block = (at[first] // block).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.entry_start, self.entry_size = first.astype(np.int32), np.diff(np.append(first, len(entry))).astype(np.int32)
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    @property
+    def table(self) -> np.ndarray:
+        """Weights of the common terms, built where it is used."""
+        if self._table is None:
+            self._table = np.zeros((self.rows, self.blocks * self.block))
+            self._table[self.filled[0], self.filled[1]] = self.filled[2]
+        return self._table
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n queries, given as rows in order of doc: cosines and examples, best first, ties by example; only cosines
+        above 0. skip: examples that a query leaves out."""
+        for lo in range(0, n, QUERIES):
+            hi = min(n, lo + QUERIES)
+            a, b = np.searchsorted(doc, (lo, hi))
+            d, t, w = doc[a:b] - lo, term[a:b], weight[a:b]
+            full = self.row[t] >= 0
+            dense = np.zeros((hi - lo, len(self.table)))
+            dense[d[full], self.row[t[full]]] = w[full]
+            sums = dense @ self.table
+            d, t, w = d[~full], t[~full], w[~full]
+            cuts = np.searchsorted(d, np.arange(hi - lo + 1)).tolist()
+            for i in range(hi - lo):
+                own = slice(cuts[i], cuts[i + 1])
+                yield self._nearest(sums[i], t[own], w[own], k, skip[lo + i])
+
+    def _nearest(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip) -> tuple[np.ndarray, np.ndarray]:
+        """scores: of all places by the common terms alone, which are bounds from below."""
+        out = np.flatnonzero(np.isin(self.order, skip)) if len(skip) else None
+        if out is not None:
+            scores[out] = 0
+        start = self.term_start[terms]
+        sizes = self.term_start[terms + 1] - start
+        entries, w = _spread(start, sizes), np.repeat(weights, sizes)
+        block = self.entry_block[entries]
+        bounds = scores.reshape(-1, self.block).max(axis=1) + np.bincount(block, weights=w * self.entry_most[entries], minlength=self.blocks)
+        seen = np.zeros(self.blocks, bool)
+        least = np.partition(scores, -k)[-k] if self.n > k else 0.0
+        for most in (1 + 2 * k // self.block, self.blocks):
+            todo = ~seen & (bounds >= max(least - 1e-9, 1e-15))
+            if most < todo.sum():
+                todo[np.argsort(np.where(todo, -bounds, 1), kind="stable")[most:]] = False
+            seen |= todo
+            some = np.flatnonzero(todo[block])
+            if len(some):
+                e = entries[some]
+                size = self.entry_size[e]
+                postings = _spread(self.entry_start[e], size)
+                scores += np.bincount(self.at[postings], weights=np.repeat(w[some], size) * self.weight[postings], minlength=len(scores))
+                if out is not None:
+                    scores[out] = 0
+                least = np.partition(scores, -k)[-k] if self.n > k else 0.0
+        top = np.flatnonzero(scores >= max(least - 1e-9, 1e-15))
+        found, cosines = self.order[top], np.round(scores[top], 9)
+        best = np.lexsort((found, -cosines))[:k]
+        return cosines[best], found[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,128 +247,170 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.05) / (p[1] + 0.1) for p in pools])
 
 
+def digest(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+
+
 class Model:
-    """What is broadcast: lexicon, idf, index of examples, calibration."""
-
-    def __init__(self, terms: list[bytes], df: list[int], n_docs: int, examples: list[tuple[int, int, dict[int, int]]], k: int = K):
-        self.terms, self.k = terms, k
-        self.idf = [math.log((n_docs + 1) / (d + 1)) + 1 for d in df]
-        self.any = bool(examples)
-        plain = [y for _, y, c in examples if not c]
-        self.base = (sum(plain) + 0.5) / (len(plain) + 1) if examples else 0.0
-        kept = [(d, y, self.vector(c)) for d, y, c in examples if c]
-        self.ids, self.labels = [d for d, _, _ in kept], [y for _, y, _ in kept]
-        self.index = Index([v for _, _, v in kept], len(terms))
+    """What is broadcast: vocabulary, idf, relevance, index of examples, calibration."""
+
+    def __init__(self, sample: Sample, ids: list[int], texts: list[str | None], labels: np.ndarray, df: np.ndarray, n_docs: int, k: int = K):
+        self.known, self.plus, self.k = sample.known, sample.plus, k
+        self.factor = (np.log((n_docs + 1) / (df + 1)) + 1) * (relevance(sample, labels) if len(labels) else 1.0)
+        self.ids, self.labels = np.array(ids, np.int64), labels.astype(np.int64)
+        self.base = (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0
+        self.copies: dict[bytes, list[int]] = {}
+        for i, t in enumerate(texts):
+            self.copies.setdefault(digest(t), []).append(i)
+        self.own = sample.doc, sample.term, self.weigh(sample.doc, sample.term, sample.n, sample.size)
+        self.index = Index(*self.own, sample.size, len(self.known))
         self.knots = (np.array([0.0]), np.array([0.0]))
-        if examples:
-            raw = [self.vote(self.index.nearest(v, k, skip=i)) for i, (_, _, v) in enumerate(kept)] + [self.base] * len(plain)
-            self.knots = isotonic(np.array(raw), np.array([*self.labels, *plain], dtype=float))
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        out = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in out.values()))
-        return {t: w / norm for t, w in out.items()}
-
-    def vote(self, found: list[tuple[float, int]]) -> float:
-        up, all_ = self.base, 1.0
-        for s, i in found:
-            w = 1 / (1.05 - min(s, 1.0))
-            up, all_ = up + w * self.labels[i], all_ + w
-        return up / all_
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        if not self.any:
-            return 0.0, []
-        found = self.index.nearest(self.vector(counts), self.k) if counts else []
-        raw = self.vote(found)
+
+    def weigh(self, doc: np.ndarray, term: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
+        w = (1 + np.log(n)) * self.factor[term]
+        return w / np.sqrt(np.bincount(doc, weights=w * w, minlength=docs))[doc]
+
+    def vote(self, cosines: np.ndarray, found: np.ndarray) -> float:
+        w = 1 / (1.05 - np.minimum(cosines, 1.0))
+        return float((self.base + w @ self.labels[found]) / (1.0 + w.sum()))
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """votes: of each example, without itself."""
+        self.knots = isotonic(votes, self.labels.astype(float))
+        self.own = None
+
+    def votes_of_examples(self, some: np.ndarray) -> np.ndarray:
+        """some: ascending."""
+        doc, term, weight = self.own
+        keep = np.isin(doc, some)
+        copies = {i: own for own in self.copies.values() for i in own}
+        found = self.index.nearest(np.searchsorted(some, doc[keep]), term[keep], weight[keep], len(some), self.k, [copies[i] for i in some.tolist()])
+        return np.array([self.vote(*x) for x in found])
+
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: score, cosines and examples found, its heaviest terms."""
+        if not len(self.labels):
+            for _ in texts:
+                yield 0.0, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        doc, term, n = counts_of(texts, self.known, self.plus)
+        weight = self.weigh(doc, term, n, len(texts))
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         x, y = self.knots
-        # a hundredth of the raw vote keeps the order within a pooled block
-        return float(min(1.0, max(0.0, 0.99 * np.interp(raw, x, y) + 0.01 * raw))), found
+        skip = [self.copies.get(digest(t), ()) for t in texts]
+        for i, (cosines, found) in enumerate(self.index.nearest(doc, term, weight, len(texts), self.k, skip)):
+            raw = self.vote(cosines, found)
+            heaviest = slice(cuts[i], cuts[i + 1])
+            # a hundredth of the raw vote keeps the order within a pooled block
+            yield min(1.0, max(0.0, 0.99 * float(np.interp(raw, x, y)) + 0.01 * raw)), cosines, found, term[heaviest][np.argsort(-weight[heaviest], kind="stable")[:5]]
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, lexicon: int = LEXICON, k: int = K) -> tuple[Model, DataFrame]:
-    """The model, and a staged table doc_id, terms, counts of the lexicon's terms in every document."""
-    spark = docs.sparkSession
+def sample_of(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> pa.Table:
+    """doc_id, text, toxic of the examples, in order of doc_id: at most so many rows and bytes."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
-    drawn = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(examples)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])  # at most `examples` rows
+    order = F.xxhash64(F.lit(9), "doc_id")
+    drawn = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(order, "doc_id").limit(examples)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 16)
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("key", order)
     texts = stage(texts, "examples")
-
-    def make_counts():
-        def run(batch: pa.RecordBatch) -> dict:
-            up: Counter = Counter()
-            down: Counter = Counter()
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (up if y else down).update(count_terms(text).keys())
-            keys = list(up.keys() | down.keys())
-            return {"term": keys, "up": [up[t] for t in keys], "down": [down[t] for t in keys]}
-
-        return run
-
-    n = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("up")).first()
-    n_up, n_down = int(n["up"] or 0), int(n["n"] - (n["up"] or 0))
-    sums = map_batches(texts.select("text", "toxic"), make_counts, "term binary, up long, down long").groupBy("term").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    pu, pd = (F.col("up") + 0.5) / (n_up + 1), (F.col("down") + 0.5) / (n_down + 1)
-    p = (F.col("up") + F.col("down") + 1) / (n_up + n_down + 2)
-    ratio = F.col("up") * F.log(pu / p) + F.col("down") * F.log(pd / p) + (n_up - F.col("up")) * F.log((1 - pu) / (1 - p)) + (n_down - F.col("down")) * F.log((1 - pd) / (1 - p))
-    chosen = sums.where((F.col("up") >= 3) & (pu > 2 * pd)).withColumn("ratio", ratio).where("ratio > 5").orderBy(F.desc("ratio"), "term").limit(lexicon)
-    terms = sorted(bytes(r["term"]) for r in chosen.select("term").collect())
-    shared = spark.sparkContext.broadcast(terms)
-
-    def make_terms():
-        lex = Lexicon(shared.value)
-
-        def run(batch: pa.RecordBatch) -> dict:
-            found = [lex(t) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]}
-
-        return run
-
-    schema = "doc_id long, toxic int, terms array<int>, counts array<int>"
-    own = map_batches(texts.select(F.col("doc_id").cast("long"), "text", "toxic"), make_terms, schema)
-    rows = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in own.collect()]  # at most `examples`
-    rows.sort()
-    every = stage(map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("toxic")), make_terms, schema).drop("toxic"), "terms")
-    df = dict(every.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # one row a term
-    return Model(terms, [df.get(i, 0) for i in range(len(terms))], every.count(), rows, k), every
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > most_bytes:  # whole rows in order of the hash, while they fit
+        share = most_bytes / total
+        texts = texts.where(F.col("key") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    out = texts.drop("key").toArrow().sort_by("doc_id")
+    unstage(texts)
+    return out
 
 
-def score(every: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, neighbours (doc_ids), cosines, votes (their labels), matched (terms) for rows of fit()'s table."""
-    shared = every.sparkSession.sparkContext.broadcast(model)
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K) -> Model:
+    spark = docs.sparkSession
+    rows = sample_of(docs, labels, examples)
+    texts = rows.column("text").to_pylist()
+    sample = Sample(texts)
+    shared = spark.sparkContext.broadcast((sample.known, sample.plus))
+
+    def frequencies(batches):
+        known, plus = shared.value
+        df, n = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for part in slices(batch):
+                _, term, _ = counts_of(part.column("text").to_pylist(), known, plus)
+                df += np.bincount(term, minlength=len(known))
+                n += part.num_rows
+        if n:
+            for at in range(0, len(df) or 1, CHUNK):
+                some = df[at : at + CHUNK]
+                own = np.flatnonzero(some)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n if not at else 0], pa.int64()), pa.array([own.astype(np.int32)], pa.list_(pa.int32())), pa.array([some[own]], pa.list_(pa.int64()))], names=["at", "n", "term", "df"])
+
+    found = docs.select("text").mapInArrow(frequencies, "at long, n long, term array<int>, df array<long>")
+
+    def add(pdf):
+        import pandas as pd
+
+        df = np.zeros(CHUNK, np.int64)
+        for t, n in zip(pdf["term"], pdf["df"], strict=True):
+            df[t] += n
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "n": [pdf["n"].sum()], "df": [df]})
+
+    df, n_docs = np.zeros(-(-len(sample.known) // CHUNK) * CHUNK or CHUNK, np.int64), 0
+    for r in found.groupBy("at").applyInPandas(add, "at long, n long, df array<long>").toArrow().to_pylist():  # the vocabulary's size
+        df[r["at"] : r["at"] + CHUNK] = r["df"]
+        n_docs += r["n"]
+    shared.destroy()
+    model = Model(sample, rows.column("doc_id").to_pylist(), texts, np.array(rows.column("toxic"), dtype=np.int64), df[: len(sample.known)], n_docs, k)
+    if len(texts):
+        own = spark.sparkContext.broadcast(model)
+        parts = max(1, min(len(texts) // 256, 2 * spark.sparkContext.defaultParallelism))
+
+        def make():
+            return lambda batch: {"id": batch.column("id"), "vote": own.value.votes_of_examples(np.array(batch.column("id")))}
+
+        votes = map_batches(spark.range(0, len(texts), 1, parts), make, "id long, vote double").toArrow().sort_by("id")  # one row an example
+        own.destroy()
+        model.calibrate(np.array(votes.column("vote")))
+    return model
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, score, neighbours (doc_ids), cosines, votes (their labels), matched (heaviest terms)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict = {"doc_id": batch.column("doc_id"), "score": [], "neighbours": [], "cosines": [], "votes": [], "matched": []}
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                s, found = model.score(dict(zip(terms, counts, strict=True)))
+            for s, cosines, found, terms in model.score(batch.column("text").to_pylist()):
                 out["score"].append(s)
-                out["neighbours"].append([model.ids[i] for _, i in found[:5]])
-                out["cosines"].append([c for c, _ in found[:5]])
-                out["votes"].append([model.labels[i] for _, i in found[:5]])
-                out["matched"].append([model.terms[t].decode(errors="replace") for t in terms])
+                out["neighbours"].append(model.ids[found[:5]])
+                out["cosines"].append(cosines[:5])
+                out["votes"].append(model.labels[found[:5]])
+                out["matched"].append(terms)
+            ends = np.cumsum([0, *map(len, out["matched"])])
+            names = model.known.take(pa.array(np.concatenate([np.zeros(0, np.int64), *out["matched"]])))
+            out["matched"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.cast(pa.string()))
             return out
 
         return run
 
-    return map_batches(every, make, "doc_id long, score double, neighbours array<long>, cosines array<double>, votes array<int>, matched array<string>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, score double, neighbours array<long>, cosines array<double>, votes array<int>, matched array<string>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """The documents that score below `most`, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)[0])
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
         model = shared.value
-        lex = Lexicon(model.terms)
         for batch in batches:
-            yield batch.filter(pa.array([model.score(lex(t))[0] < most for t in batch.column("text").to_pylist()], pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array([s < most for s, *_ in model.score(part.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, every = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(every, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines", "votes", "matched")
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines", "votes", "matched")

@@ -1,9 +1,12 @@
 """The ten operators against brute force, exact round trips or held-out accuracy."""
 
 import hashlib
+import math
 import random
+import re
 import shutil
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -544,7 +547,8 @@ def test_url_oracle(spark):
 
 
 # ---- 9: toxicity ----------------------------------------------------------------------------------------------------
-def test_nearest_is_exact():
+@pytest.mark.parametrize("dense", [0, 12])
+def test_nearest_is_exact(dense):
     rng = random.Random(14)
     vectors = []
     for _ in range(500):
@@ -552,12 +556,84 @@ def test_nearest_is_exact():
         norm = sum(w * w for w in v.values()) ** 0.5
         vectors.append({t: w / norm for t, w in v.items()})
     vectors += vectors[:20]
-    index = toxicity.Index(vectors, 40, block=16)
-    for q in vectors[::25]:
-        want = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-round(x[0], 9), x[1]))
-        got = index.nearest(q, 10)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want if s > 0][:10]
-    assert index.nearest({}, 5) == [] and toxicity.Index([], 3).nearest({1: 1.0}, 5) == []
+    rows = lambda some: (np.array(x) for x in zip(*[(i, t, w) for i, v in enumerate(some) for t, w in sorted(v.items())], strict=True))
+    index = toxicity.Index(*rows(vectors), len(vectors), 40, block=16, dense=dense)
+    queries = vectors[::25]
+    for i, (q, (cosines, found)) in enumerate(zip(queries, index.nearest(*rows(queries), len(queries), 10, [[25 * i] for i in range(len(queries))]), strict=True)):
+        want = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), j) for j, v in enumerate(vectors) if j != 25 * i))
+        assert [(-s, j) for s, j in want if s < 0][:10] == list(zip(cosines.tolist(), found.tolist(), strict=True))
+    none = np.zeros(0, int)
+    assert [len(f) for _, f in index.nearest(none, none, np.zeros(0), 2, 5, [[], []])] == [0, 0]
+    assert [len(f) for _, f in toxicity.Index(none, none, np.zeros(0), 0, 3).nearest(np.array([0]), np.array([1]), np.ones(1), 1, 5, [[]])] == [0]
+
+
+def terms_of(text):
+    """Counts of a text's terms, without the module's code."""
+    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    out = Counter([*words, *(w[:5] + "*" for w in words if len(w) > 5)])
+    return out + Counter({f"{t}+": 1 for t, n in out.items() if n >= 3})
+
+
+def toxicity_by_brute_force(rows, labels, k=toxicity.K):
+    """doc_id -> score, neighbours; rows are distinct doc_ids with texts, labels a dict."""
+    texts = dict(rows)
+    ids = sorted(i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 5)
+    y = {i: labels[i] for i in ids}
+    every = {i: terms_of(t) for i, t in rows}
+    known = {t for i in ids for t in every[i]}
+    n, up, n_up = len(ids), Counter(t for i in ids if y[i] for t in every[i]), sum(y.values())
+    having = Counter(t for i in ids for t in every[i])
+    df = Counter(t for c in every.values() for t in c)
+    factor = {}
+    for t in known:
+        cells = [(up[t], having[t], n_up), (having[t] - up[t], having[t], n - n_up), (n_up - up[t], n - having[t], n_up), (n - n_up - having[t] + up[t], n - having[t], n - n_up)]
+        ratio = 2 * sum(x * math.log(x / (a * b / n)) for x, a, b in cells if x > 0)
+        ratio = ratio if up[t] * (n - n_up) > 2 * (having[t] - up[t]) * n_up else 0
+        relevance = toxicity.PLAIN + (1 - toxicity.PLAIN) * ratio**2 / (ratio**2 + toxicity.TELLING**2)
+        factor[t] = (math.log((len(rows) + 1) / (df[t] + 1)) + 1) * relevance
+
+    def vector(i):
+        v = {t: (1 + math.log(n)) * factor[t] for t, n in every[i].items() if t in known}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / norm for t, w in v.items()}
+
+    vectors, base = {i: vector(i) for i in every}, (n_up + 0.5) / (n + 1)
+
+    def vote(i):
+        found = sorted((-round(sum(w * vectors[j].get(t, 0) for t, w in vectors[i].items()), 9), j) for j in ids if (texts[j] or "") != (texts[i] or ""))
+        found = [(-c, j) for c, j in found if c < 0][:k]
+        w = [1 / (1.05 - min(c, 1)) for c, _ in found]
+        return (base + sum(x * y[j] for x, (_, j) in zip(w, found, strict=True))) / (1 + sum(w)), [j for _, j in found[:5]]
+
+    votes = {i: vote(i) for i in every}
+    knots = toxicity.isotonic(np.array([votes[i][0] for i in ids]), np.array([float(y[i]) for i in ids]))
+    return {i: (min(1, max(0, 0.99 * float(np.interp(v, *knots)) + 0.01 * v)), own) for i, (v, own) in votes.items()}
+
+
+def test_toxicity_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "DENSE", 20)
+    rng = random.Random(15)
+    rows = [(i, f"{rng.choice(['Idiot, moronic ' * rng.randint(1, 4), 'kind calm ', ''])}{data.words(i % 260, 5 + i % 40)}") for i in range(300)] + [(900, None), (901, ""), (902, "unseen"), (903, "ÊTRE être Être")]
+    labels = {i: int("diot" in t) if rng.random() < 0.95 else 1 for i, t in rows[:250]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")))
+    want = toxicity_by_brute_force(rows, labels)
+    for r in out.collect():
+        score, found = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-7) and list(r["neighbours"]) == found
+        assert all(x in terms_of(dict(rows)[r["doc_id"]]) for x in r["matched"])
+
+
+def test_toxicity_sample_is_bounded_and_repeatable(spark):
+    rows = [(i % 50, f"text {i} " * 20, "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    docs = data.frame(spark, rows)
+    got = toxicity.sample_of(docs, labels).to_pylist()
+    assert [r["text"] for r in got] == [min(t for d, t, _ in rows if d == r["doc_id"]) for r in got] and len(got) > 30
+    assert toxicity.sample_of(docs.repartition(5), labels, 20).num_rows == 20
+    few = toxicity.sample_of(docs, labels, 50, 3200)
+    assert 0 < few.num_rows < len(got) and sum(len(t) for t in few.column("text").to_pylist()) < 4800
 
 
 def test_isotonic():
@@ -584,8 +660,7 @@ def test_toxicity_never_learns_from_held_out_rows(spark):
     lying = spark.createDataFrame([(i, 1 - i % 2 if i in held else i % 2) for i in range(400)], "doc_id long, toxic int")
     scores = []
     for labels in (honest, lying):
-        model, every = toxicity.fit(docs, labels)
-        scores.append(sorted(collected(toxicity.score(every, model).select("doc_id", "score"))))
+        scores.append(sorted(collected(toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", "score"))))
     assert scores[0] == scores[1]
     assert all((s >= 0.5) == bool(i % 2) for i, s in scores[0])
     left = toxicity.drop_toxic(docs, honest)
@@ -594,13 +669,16 @@ def test_toxicity_never_learns_from_held_out_rows(spark):
 
 def test_toxicity_of_nulls_and_nothing(spark, nulls, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model, every = toxicity.fit(nulls, none)
-    assert {r["score"] for r in toxicity.score(every, model).collect()} == {0.0}
+    out = toxicity.score(nulls, toxicity.fit(nulls, none)).collect()
+    assert sorted_rows((r["doc_id"], r["score"]) for r in out) == sorted_rows((d, 0.0) for d, _ in ALL)
     odd = spark.createDataFrame([(None, 1), (1, None), (1, 1), (1, 0), (3, 0), (99, 1)], "doc_id long, toxic int")
-    model, every = toxicity.fit(nulls, odd)
-    assert toxicity.score(every, model).count() == len(ALL)
-    model, every = toxicity.fit(nothing, odd)
-    assert toxicity.score(every, model).count() == 0
+    out = toxicity.score(nulls, toxicity.fit(nulls, odd)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(d) for d, _ in ALL) and all(0 <= r["score"] <= 1 for r in out)
+    by: dict = {}
+    for r in out:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(by[30]) == 1 and by[4] == by[7] == by[8]
+    assert toxicity.score(nothing, toxicity.fit(nothing, odd)).count() == 0
 
 
 # ---- 10: fingerprints -----------------------------------------------------------------------------------------------

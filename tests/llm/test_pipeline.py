@@ -28,8 +28,8 @@ def test_stages(spark, tables):
     assert names == ["toxicity", "near_dedup", "decontamination", "mixing", "token_ids"]
 
     clean = corpus_pipeline.STAGES[0][1](spark, docs, tables).cache()
-    model, every = toxicity.fit(docs, spark.read.parquet(f"{tables}/labels.parquet"))
-    want = {r["doc_id"] for r in toxicity.score(every, model).where("score < 0.5").collect()}
+    model = toxicity.fit(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    want = {r["doc_id"] for r in toxicity.score(docs, model).where("score < 0.5").collect()}
     assert {r["doc_id"] for r in clean.collect()} == want and all(100 + i not in want for i in range(0, 200, 3))
 
     distinct = corpus_pipeline.STAGES[1][1](spark, clean, tables).cache()
