@@ -10,18 +10,23 @@ may pass another, and bands and bounds follow from it.
 3. Nodes in buckets get two parity bitmaps: the odd sketch, into which the MinHash samples are folded, and the same of
    the whole set. XOR population counts estimate similarity; the whole set's count never exceeds the symmetric
    difference, so it also rejects with certainty. Bounds lie 6 standard deviations beyond the threshold.
-4. Rounds: in each bucket whose nodes lie in several components, the best pairs between components that the bitmaps
-   allow are proposed (a spanning forest in the first round, FURTHER pairs a node later), and confirmed on the full
-   sets; links merge components, refuted pairs are not proposed again. It ends when no bucket has a pair left, so no
-   proposal is dropped, and a group of m near copies costs about m confirmations instead of m * m.
-
-Buckets of more than BLOCK nodes are dealt to cells, one for each two of their blocks; small ones share a task's group.
-Components are found by the
-large-star and small-star steps on staged tables. Nothing but counts comes to the driver.
+4. Stars: each bucket has a pivot, its smallest node, and each of its nodes is a candidate with the pivot if the bitmaps
+   allow it. Every node's best candidate is confirmed on the full sets, links merge components, and what is left between
+   components is confirmed then. That is all for buckets of two, and a group of m near copies costs about m confirmations.
+5. The rest: in a bucket that still has several components, the nodes outside its largest one (the left side) meet all its
+   nodes (the right side), in cells of at most BLOCK nodes a side; pairs of one component are not looked at. Rounds propose
+   the best pairs that the bitmaps allow (the first: a spanning forest a cell, of which one pair for two components; then
+   FURTHER pairs a node), and refuted pairs are not proposed again. It ends when no bucket has a pair left, so no proposal
+   is dropped. Only nodes whose buckets hold many components cost more than their number.
+
+Buckets with more than 1/HOT of all rows (HOT at most) are joined by broadcast, and a node with more than that share of
+the pairs (a hub) is sent to several tasks, so that no large group meets in one. Components are found by the large-star
+and small-star steps on staged tables. Nothing but counts comes to the driver.
 
 Defined results: null, empty and wordless texts have an empty set and are their own class; rows with equal doc_id and
 text fall into one class; a class's id is its smallest doc_id, null only if all are null; an empty table gives an empty
-result; further columns are ignored by near_duplicates() and kept by one_of_each().
+result; a very long text is one set like others, held with its batch; further columns are ignored by near_duplicates()
+and kept by one_of_each(), which keeps one row of each class, the first by doc_id (null first) and a hash of the text.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,13 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, stage, table, work_dir
+from .common import delete, fresh, map_batches, stage, table, unstage, work_dir
 from .token_store import mix64
 
 SHINGLE, SHARE = 5, 85
 ROWS, MISS = 5, 5e-7
 ODD_BITS, SET_BITS = 512, 1024
 BLOCK, FURTHER, CELL_ROWS = 2048, 8, 2048
+HOT, FEW = 4096, 1000
 
 _K = 125
 _SEEDS = mix64(np.arange(1, 1 + 2 * _K + 256 + 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -159,27 +165,33 @@ def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
 
 
 # ---- candidates -----------------------------------------------------------------------------------------------------
-def allowed_pairs(n: np.ndarray, odd: np.ndarray, whole: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, share: int = SHARE):
-    """Pairs (i in left, j in right) of different labels that the bitmaps allow, with the distances of their sketches."""
-    found = []
+def distances(n: tuple, odd: tuple, whole: tuple, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Do the bitmaps allow pairs (each argument but share: of the left and of the right nodes), and their sketches'
+    distances."""
     ones = np.bitwise_count
-    odd_bound = threshold(share).odd_bound
+    small, large = np.minimum(*n), np.maximum(*n)
+    most = (100 - share) * (small + large) / (100 + share)
+    o, w = (ones(x ^ y).sum(axis=1, dtype=np.int32) for x, y in (odd, whole))
+    mean, noise = _expected(most, SET_BITS)
+    bound = threshold(share).odd_bound
+    near = (100 * small >= share * large) & (o <= bound) & (w <= np.minimum(most, mean + 6 * noise))
+    return near, o / bound + w / np.maximum(1, np.minimum(most, mean))
+
+
+def allowed_pairs(n, odd, whole, left, right, label, share: int = SHARE, node=None, outside=None):
+    """Pairs (i in left, j in right) of different labels that the bitmaps allow, with the distances of their sketches. Where
+    outside is given, nodes that it marks stand on both sides, and their pairs are taken once, by node."""
+    found = []
     for i in left.tolist():
-        j = right[(label[right] != label[i]) & ((right > i) | (left is not right))]
+        j = right[label[right] != label[i]]
+        if outside is not None:
+            j = j[~outside[j] | (node[j] > node[i])]
         j = j[100 * np.minimum(n[j], n[i]) >= share * np.maximum(n[j], n[i])]
         if not len(j):
             continue
-        o = ones(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int32)
-        near = o <= odd_bound
-        j, o = j[near], o[near]
-        if not len(j):
-            continue
-        most = (100 - share) * (n[j] + n[i]) / (100 + share)
-        w = ones(whole[j] ^ whole[i]).sum(axis=1, dtype=np.int32)
-        mean, noise = _expected(most, SET_BITS)
-        near = w <= np.minimum(most, mean + 6 * noise)
+        near, far = distances((n[i], n[j]), (odd[i], odd[j]), (whole[i], whole[j]), share)
         if near.any():
-            found.append((np.full(near.sum(), i), j[near], o[near] / odd_bound + w[near] / np.maximum(1, np.minimum(most, mean))[near]))
+            found.append((np.full(near.sum(), i), j[near], far[near]))
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -204,39 +216,39 @@ class Forest:
         return a != b
 
 
-_PROPOSED = ("key", "bi", "bj", "a", "b")
+_PROPOSED = {"key": "long", "a": "long", "b": "long", "la": "long", "lb": "long", "far": "double"}
 
 
 def _propose(forest_only: bool, share: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Over the rows of some bucket cells and the refuted pairs from them."""
+    """Over the rows of some bucket cells and the refuted pairs of their buckets."""
 
     def run(rows: pd.DataFrame, refuted: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows):
-            key, node, block, bi, bj = (rows[c].to_numpy() for c in ("key", "node", "block", "bi", "bj"))
-            order = np.lexsort((block, node, bj, bi, key))
-            key, node, block, bi, bj = (x[order] for x in (key, node, block, bi, bj))
-            label, n = rows["label"].to_numpy()[order], rows["n"].to_numpy()[order]
+            key, i, j, node, right = (rows[c].to_numpy() for c in ("key", "i", "j", "node", "right"))
+            order = np.lexsort((node, right, j, i, key))
+            key, i, j, node, right = (x[order] for x in (key, i, j, node, right))
+            label, n, own = (rows[c].to_numpy()[order] for c in ("label", "n", "outside"))
             odd, whole = (np.frombuffer(b"".join(rows[c]), np.uint64).reshape(len(rows), -1)[order] for c in ("odd", "whole"))
             known = {*zip(refuted["a"].tolist(), refuted["b"].tolist(), strict=True)}
             forest = Forest()
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-                own = slice(lo, hi)
-                left = np.flatnonzero(block[own] == bi[lo])
-                right = left if bi[lo] == bj[lo] else np.flatnonzero(block[own] == bj[lo])
-                i, j, far = allowed_pairs(n[own], odd[own], whole[own], left, right, label[own], share)
+                cell = slice(lo, hi)
+                sides = np.flatnonzero(~right[cell]), np.flatnonzero(right[cell])
+                x, y, far = allowed_pairs(n[cell], odd[cell], whole[cell], *sides, label[cell], share, node[cell], own[cell])
                 some = 0
-                for k in np.lexsort((node[own][j], node[own][i], far)).tolist():
-                    x, y = lo + int(i[k]), lo + int(j[k])
-                    a, b = sorted((int(node[x]), int(node[y])))
-                    if (a, b) in known or forest_only and not forest.join(int(label[x]), int(label[y])):
+                for k in np.lexsort((node[cell][y], node[cell][x], far)).tolist():
+                    p, q = lo + int(x[k]), lo + int(y[k])
+                    if node[p] > node[q]:
+                        p, q = q, p
+                    if (node[p], node[q]) in known or forest_only and not forest.join(int(label[p]), int(label[q])):
                         continue
-                    out.append((int(key[lo]), int(bi[lo]), int(bj[lo]), a, b))
+                    out.append((int(key[lo]), int(node[p]), int(node[q]), int(label[p]), int(label[q]), float(far[k])))
                     some += 1
                     if some >= FURTHER * (hi - lo):  # the rest has its turn in the next round
                         break
-        return pd.DataFrame(out, columns=_PROPOSED) if out else pd.DataFrame({c: [] for c in _PROPOSED})
+        return pd.DataFrame(out, columns=list(_PROPOSED)) if out else pd.DataFrame({c: [] for c in _PROPOSED})
 
     return run
 
@@ -309,6 +321,49 @@ def _sketched(texts: DataFrame, share: int) -> DataFrame:
     return map_batches(texts, make, "node long, text string, n long, odd binary, whole binary")
 
 
+def _often(total: int) -> int:
+    """Rows above which a key is hot: at most HOT keys of so many rows are."""
+    return max(FEW, total // HOT)
+
+
+def _attach(pairs: DataFrame, column: str, side: DataFrame) -> DataFrame:
+    """pairs with the other columns of side(node, ...), as <name>_<column>, for pairs[column] = node."""
+    named = side.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{column}") for c in side.columns if c != "node"])
+    often = _often(pairs.count())
+    hubs = pairs.groupBy(column).count().where(F.col("count") > often).select(column, F.ceil(F.col("count") / often).cast("int").alias("parts"))
+    hubs = stage(hubs, "hubs")
+    if not hubs.limit(1).count():
+        return pairs.join(named, column)
+    split = pairs.join(F.broadcast(hubs), column, "left")
+    plain = split.where("parts IS NULL").drop("parts").join(named, column)
+    copies = named.join(F.broadcast(hubs), column).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    hot = split.where("parts IS NOT NULL").withColumn("part", F.pmod(F.xxhash64(*[c for c in ("a", "b") if c != column]), F.col("parts")).cast("int")).drop("parts")
+    return plain.unionByName(hot.join(copies, [column, "part"]).drop("part"))
+
+
+def _by_key(rows: DataFrame, keys: DataFrame, often: int) -> DataFrame:
+    """rows with the columns of keys(key, m, ...), of which those with m > often are broadcast."""
+    hot = rows.join(F.broadcast(keys.where(F.col("m") > often)), "key", "left")
+    return hot.where("m IS NOT NULL").unionByName(hot.where("m IS NULL").select(*rows.columns).join(keys.where(F.col("m") <= often), "key").select(*hot.columns))
+
+
+def _candidates(pairs: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """pairs(a, b) -> a, b, far: those that the bitmaps allow."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            n = [np.array(batch.column(f"n_{c}")) for c in "ab"]
+            odd, whole = ([np.frombuffer(b"".join(batch.column(f"{x}_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "ab"] for x in ("odd", "whole"))
+            near, far = distances(n, odd, whole, share)
+            keep = pa.array(near)
+            return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep), "far": far[near]}
+
+        return run
+
+    both = _attach(_attach(pairs, "b", sketches), "a", sketches)
+    return map_batches(both.select("a", "b", *[f"{x}_{c}" for x in ("n", "odd", "whole") for c in "ab"]), make, "a long, b long, far double")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """pairs(a, b) -> a, b, ok by the full sets. Staged."""
 
@@ -327,13 +382,33 @@ def _confirm(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
 
         return run
 
-    one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return stage(map_batches(pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b"), make, "a long, b long, ok boolean"), "confirmed")
+    both = _attach(_attach(pairs, "b", texts.select("node", "text")), "a", texts.select("node", "text"))
+    return stage(map_batches(both.select("a", "b", "text_a", "text_b"), make, "a long, b long, ok boolean"), "confirmed")
+
+
+class _Links:
+    """Confirmed links so far, and the label (smallest node of its component) of each node."""
+
+    def __init__(self, texts: DataFrame, share: int):
+        self.texts, self.share = texts, share
+        self.links, self.labels = [], texts.select("node", F.col("node").alias("label"))
+
+    def judge(self, pairs: DataFrame) -> DataFrame:
+        """Confirms pairs(a, b) and merges what they link; a, b, ok."""
+        verdict = _confirm(pairs, self.texts, self.share)
+        self.links.append(verdict.where("ok").select("a", "b"))
+        rooted = components(reduce(DataFrame.unionByName, self.links))
+        self.labels = stage(self.texts.select("node").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+        return verdict
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) whose nodes are in different components."""
+        both = _attach(_attach(pairs, "b", self.labels), "a", self.labels)
+        return both.where("label_a != label_b").select(*pairs.columns)
 
 
 def classes(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """First pass over docs (k, h, doc_id, n, name), and name, component_id of every set with words."""
+    """First pass over docs (k, h, doc_id, n, name), and name, label, component_id, rep (first k and h) of every set with words."""
     spark = docs.sparkSession
     keyed = _keyed(docs.select("doc_id", "text"))
     first = stage(_first_pass(keyed, share), "first")
@@ -342,46 +417,80 @@ def classes(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     )
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who")).where("m > 1")
-    buckets = stage(buckets.groupBy("m", "who").agg(F.min("key").alias("key")).select("key", "m"), "buckets")
-    members = stage(banded.join(buckets, "key").select("key", "m", "node"), "members")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("pivot")).where("m > 1")
+    buckets = stage(buckets.groupBy("m", "who").agg(F.min(F.struct("key", "pivot")).alias("x")).select("x.key", "m", "x.pivot"), "buckets")
+    often = _often(buckets.agg(F.sum("m")).first()[0] or 0)
+    members = stage(_by_key(banded, buckets, often), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep.k", "rep.h"), "node")
     found = keyed.select("k", "h", "text").join(wanted, ["k", "h"]).dropDuplicates(["node"]).select("node", "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     # texts by node in buckets, so that the rounds' joins need not move them
-    name = f"corvane_{work_dir(spark).rsplit('-', 1)[1]}"
-    _sketched(found, share).repartition(parts, "node").write.option("path", f"{work_dir(spark)}/texts").option("compression", "zstd").bucketBy(parts, "node").saveAsTable(name)
+    folder = work_dir(spark)
+    name = f"corvane_{folder.rsplit('-', 1)[1]}"
+    _sketched(found, share).repartition(parts, "node").write.option("path", f"{folder}/texts").option("compression", "zstd").bucketBy(parts, "node").saveAsTable(name)
     texts = spark.table(name)
     sketches = texts.select("node", "n", "odd", "whole")
-    # bucket cells are dealt to groups of about CELL_ROWS rows
-    groups = members.agg(F.sum(F.ceil(F.col("m") / BLOCK))).first()[0] or 0
-    group = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(int(groups) // CELL_ROWS + 1)).alias("cell")
-    labels = texts.select("node", F.col("node").alias("label"))
-    cell_schema = "key long, bi int, bj int, a long, b long"
-    links = refuted = spark.createDataFrame([], cell_schema)
+    state = _Links(texts, share)
+    # stars
+    pairs = stage(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    candidates = stage(_candidates(pairs, sketches, share), "candidates")
+    best = stage(candidates.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"), "best")
+    if best.limit(1).count():
+        state.judge(best)
+        rest = stage(state.apart(candidates.select("a", "b").join(best, ["a", "b"], "left_anti")), "rest")
+        if rest.limit(1).count():
+            state.judge(rest)
+    _rounds(members.where("m > 2").select("key", "node"), sketches, state, often)
+    named = nodes.join(state.labels, "node", "left").select("name", "least", "rep", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    out = stage(named.join(least, "label").select("name", "label", "component_id", "rep"), "classes")
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, folder)
+    unstage(nodes, buckets, members, pairs, candidates, best)
+    return first.drop("bands"), out
+
+
+def _rounds(members: DataFrame, sketches: DataFrame, state: _Links, often: int) -> None:
+    """Proposals and verdicts until no bucket of members(key, node) has a pair left."""
+    spark = members.sparkSession
+    refuted = spark.createDataFrame([], "key long, a long, b long")
+    history = spark.createDataFrame([], "a long, b long")
     tried = 0
     while True:
-        labelled = members.join(labels, "node")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rows = labelled.join(mixed, "key").join(sketches, "node")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")
-        rows = rows.select("key", "node", "label", "n", "odd", "whole", "block", other).withColumn("bi", F.least("block", "o").cast("int")).withColumn("bj", F.greatest("block", "o").cast("int"))
-        cells = rows.select("*", group).groupBy("cell").cogroup(refuted.select("*", group).groupBy("cell"))
-        proposed = stage(cells.applyInPandas(_propose(tried == 0, share), cell_schema), "proposed")
-        if proposed.limit(1).count() == 0:
-            break
-        verdict = _confirm(proposed.select("a", "b").distinct(), texts, share)
-        judged = proposed.join(verdict, ["a", "b"])
-        refuted = stage(refuted.unionByName(judged.where("NOT ok").select("key", "bi", "bj", "a", "b")), "refuted")
-        links = stage(links.select("a", "b").unionByName(verdict.where("ok").select("a", "b")), "links")
-        rooted = components(links)
-        labels = stage(texts.select("node").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+        labelled = stage(members.join(state.labels, "node"), "labelled")
+        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        mixed = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("x"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        mixed = stage(
+            mixed.select("key", "m", F.col("x.label").alias("largest"), F.ceil((F.col("m") - F.col("x.c")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("rights")), "mixed"
+        )
+        rows = _by_key(labelled.select("key", "node", "label"), mixed, often).join(sketches, "node").withColumn("outside", F.col("label") != F.col("largest"))
+        i, j = (F.pmod(F.xxhash64(F.lit(side), "node"), F.col(side)).cast("int") for side in ("lefts", "rights"))
+        every = {side: F.explode(F.sequence(F.lit(0), F.col(side) - 1)) for side in ("lefts", "rights")}
+        columns = ["key", "node", "label", "outside", "n", "odd", "whole"]
+        cells = rows.where("outside").select(*columns, F.lit(False).alias("right"), i.alias("i"), every["rights"].alias("j"))
+        cells = cells.unionByName(rows.select(*columns, F.lit(True).alias("right"), every["lefts"].alias("i"), j.alias("j")))
+        # cells are dealt to groups of about CELL_ROWS rows
+        groups = int(mixed.agg(F.sum(F.col("m") * F.col("lefts"))).first()[0] or 0) // CELL_ROWS + 1
+        group = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("cell")
+        # a refuted pair stands in two cells at most: either node may be on the left
+        again = _by_key(refuted, mixed.select("key", "m", "lefts", "rights"), often)
+        at = [F.pmod(F.xxhash64(F.lit(side), x), F.col(side)).cast("int") for side, x in (("lefts", "a"), ("rights", "b"), ("lefts", "b"), ("rights", "a"))]
+        again = again.select("key", "a", "b", at[0].alias("i"), at[1].alias("j")).unionByName(again.select("key", "a", "b", at[2].alias("i"), at[3].alias("j")))
+        schema = ", ".join(f"{c} {t}" for c, t in _PROPOSED.items())
+        proposed = cells.select("*", group).groupBy("cell").cogroup(again.select("*", group).groupBy("cell")).applyInPandas(_propose(tried == 0, state.share), schema)
+        proposed = stage(proposed, "proposed")
+        if not proposed.limit(1).count():
+            return
+        fresh_ones = proposed.join(history, ["a", "b"], "left_anti")
+        if tried == 0:  # one pair for two components
+            one = F.struct("far", "a", "b")
+            fresh_ones = fresh_ones.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.min(one).alias("z")).select("z.a", "z.b")
+        fresh_ones = stage(fresh_ones.select("a", "b").distinct(), "pairs")
+        if fresh_ones.limit(1).count():
+            verdict = state.judge(fresh_ones)
+            history = stage(history.unionByName(verdict.where("NOT ok").select("a", "b")), "history")
+        refuted = stage(refuted.unionByName(proposed.join(history, ["a", "b"], "left_semi").select("key", "a", "b")), "refuted")
         tried += 1
-    named = nodes.join(labels, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return first.drop("bands"), stage(named.join(least, "label").select("name", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -393,9 +502,10 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The document with the smallest doc_id of each class, with all its columns; of equal rows one."""
+    """The first document by doc_id of each class, with all its columns; of equal rows one."""
     first, named = classes(docs, share)
-    stay = first.join(named, "name", "left").where(F.col("name").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k", "h").distinct()
+    stay = named.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.k", "rep.h")
+    stay = stay.unionByName(first.where("name IS NULL").select("k", "h").distinct())
     k, h = fresh("k", docs.columns), fresh("h", docs.columns)
     keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn(h, F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
     stay = stay.select(F.col("k").alias(k), F.col("h").alias(h))

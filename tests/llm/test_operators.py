@@ -299,10 +299,16 @@ def test_near_duplicates_in_large_groups(spark):
 
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    rows = variants(80, 150, 4, 7)
+    """Hubs, hot keys and cells of several blocks; a group of near copies costs about its number of confirmations."""
+    judged = []
+    confirm = near_dedup._confirm
+    monkeypatch.setattr(near_dedup, "_confirm", lambda pairs, *a: judged.append(pairs.count()) or confirm(pairs, *a))
+    for k, v in (("BLOCK", 8), ("FEW", 20), ("HOT", 8), ("CELL_ROWS", 64)):
+        monkeypatch.setattr(near_dedup, k, v)
+    rows = [*variants(120, 150, 2, 7), *variants(40, 150, 16, 8)]
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == data.near_classes(rows)
+    assert sum(judged) <= 4 * len(rows)
 
 
 def test_components(spark):
@@ -324,13 +330,22 @@ def test_components(spark):
 
 
 def test_near_duplicates_of_nulls_and_nothing(spark, nulls, nothing):
-    assert near_dedup.near_duplicates(nulls).count() == len(ALL)
+    classes = data.near_classes([(d, t) for d, t, _ in data.texts()])
+    want = [(d, len(data.shingles(t)), classes.get(d), d == classes.get(d)) for d, t in ALL]
+    assert sorted_rows(collected(near_dedup.near_duplicates(nulls))) == sorted_rows(want)
     assert near_dedup.near_duplicates(nothing).count() == 0
     kept = near_dedup.one_of_each(nulls)
     assert kept.columns == nulls.columns
-    want = data.near_classes([(d, t) for d, t, _ in data.texts()])
-    assert sorted(r[0] for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted(d for d, c in want.items() if d == c)
+    assert sorted_rows((r["doc_id"],) for r in kept.collect()) == sorted_rows([(d,) for d, c in classes.items() if d == c] + [(None,)] * 2)
     assert near_dedup.one_of_each(nothing).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("corvane_")]
+
+
+def test_one_of_each_keeps_one_row_of_a_class(spark):
+    long, near = data.words(77, 100), data.words(77, 100) + " end"
+    rows = [(1, long), (1, near), (1, long), (2, near), (None, data.words(78, 50)), (None, data.words(78, 50)), (None, data.words(78, 50) + " x"), (3, ""), (3, None), (3, "")]
+    kept = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted_rows((r["doc_id"], len(r["text"] or "") > 0) for r in kept) == sorted_rows([(1, True), (None, True), (3, False), (3, False)])
 
 
 def test_sketches_never_reject_links():
