@@ -4,15 +4,20 @@ Targets: the words of all documents are shared among the sources in proportion t
 stops at `most` times its own words, and the excess is shared again. The fixed point is found in closed form: with the
 sources in order of most * words / weight, the first ones are capped and the others get weight * t.
 
-Documents: with m = target / words of its source, a document is expected m times (m * weight / the source's mean weight
-with a weight column). The whole copies floor(m) are certain. For the rest, documents are ranked by their random odds
-divided by their inclusion odds, q = (u / (1 - u)) / (p / (1 - p)), u from a hash of doc_id, text and seed, and taken in
-that order until the source's remaining words are reached. Nothing is sorted as a whole: q falls into buckets, sums of
-buckets say in which the cut lies, and only that bucket is ordered, document by document, each being taken that still
-fits; the last that brings the sum nearer to the target is taken too.
+Documents: each has a measure of its own (a weight column, or ln(e + words)), in steps of 1/LEVELS of an octave. Of a source,
+a document with measure w is expected min(most, t * w) times; t makes the expected words the target and is found in closed
+form from sums by level (levels are few), those whose share would pass `most` being capped and the rest shared again. The
+whole copies floor(m) are certain. For the rest, documents are ranked by their random odds divided by their inclusion odds,
+q = (u / (1 - u)) / (p / (1 - p)), u from a hash of doc_id, text and seed, and taken in that order until the source's
+remaining words are reached. Nothing is sorted as a whole: q falls into buckets of about BUCKET_ROWS documents, sums of
+buckets say in which the cut lies, and only that bucket is ordered. There, from the first document that no longer fits,
+documents are still taken in order if they fit, and last the one that brings the sum nearer to the target.
 
 Defined results: null text has size 0; the null source is a source of its own, last; equal rows are taken alike or, at
-the cut, in any order; a source without words has target 0; an empty table gives an empty result.
+the cut, in any order; ties of q go by doc_id and size; a very long text is one document, which fits or does not; a null,
+negative or NaN measure is 0, and what such a document would take others of its source take, as far as `most` allows; a
+source without words has target 0; an empty table gives an empty result; further columns are ignored by mix() and kept by
+mixed().
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from .common import stage, table, words_of
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BUCKET_ROWS, MOST_BUCKETS = 4096, 65536
+BUCKET_ROWS, LEVELS = 4096, 16
 
 
 def targets_of(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -43,19 +48,37 @@ def targets_of(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame
     return s.select("source", "source_size", "weight", F.when(F.col("t").isNull() | (F.col("ratio") < F.col("t")), F.col("cap")).otherwise(F.col("weight") * F.col("t")).alias("target"))
 
 
+def _expected(levels: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """levels(source, _level, size, n), known(source, source_size, target, n) -> known with _level and m, how often a document
+    of this level is expected: min(most, t * measure), with the words of all levels at the target."""
+    w = F.when(F.col("_level").isNull(), 0.0).otherwise(F.pow(F.lit(2.0), F.col("_level") / LEVELS))
+    x = levels.alias("l").join(known.alias("k"), F.expr("l.source <=> k.source")).select("k.source", "k.source_size", "k.target", "k.n", "l._level", "l.size").withColumn("w", w)
+    by = Window.partitionBy("source").orderBy(F.desc("w"))  # a row a level
+    x = x.withColumn("before", F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the factor if the levels above this one are at most and the others are not; it holds for the first that stays below
+    x = x.withColumn("t", F.try_divide(F.col("target") - most * F.col("before"), F.sum(F.col("w") * F.col("size")).over(by.rowsBetween(0, Window.unboundedFollowing))))
+    x = x.withColumn("t", F.max(F.when((F.col("t") * F.col("w") <= most) & (F.col("w") > 0), F.struct(F.col("w").alias("at"), "t"))).over(Window.partitionBy("source")))
+    m = F.when(F.col("w") == 0, 0.0).when(F.col("t").isNull() | (F.col("w") > F.col("t.at")), F.lit(float(most))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("t.t") * F.col("w"))))
+    return x.select("source", "_level", "source_size", "target", "n", F.when(F.col("source_size") > 0, m).otherwise(0.0).alias("m"))
+
+
 def _mix(docs: DataFrame, weights, most: int, seed: int, weight_col: str | None, keep: list[str]) -> DataFrame:
     """With the columns in keep as k_<name>."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
-    own = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = docs.select("doc_id", "source", words_of("text").alias("_size"), u.alias("_u"), own.alias("_own"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    size = words_of("text")
+    own = F.coalesce(F.nanvl(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.log(F.lit(float(np.e)) + size)
+    level = F.when(own > 0, F.floor(F.log2(own) * LEVELS).cast("int"))  # null: never taken
+    rows = docs.select("doc_id", "source", size.alias("_size"), u.alias("_u"), level.alias("_level"), *[F.col(c).alias(f"k_{c}") for c in keep])
     rows = stage(rows, "rows").withColumnRenamed("_size", "size")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("_own") * F.col("size")), F.sum("size")).alias("mean"))
-    known = stage(targets_of(sums.select("source", "source_size"), weights, most).alias("t").join(sums.alias("s"), F.expr("t.source <=> s.source")).selectExpr("t.source", "t.source_size", "target", "n", "coalesce(mean, 0) mean"), "targets")
-    r = rows.alias("r").join(known.alias("k"), F.expr("r.source <=> k.source")).select("r.*", "k.source_size", "k.target", "k.n", "k.mean")
-    m = F.when((F.col("source_size") > 0) & (F.col("mean") > 0), F.col("target") / F.col("source_size") * F.col("_own") / F.col("mean")).otherwise(0.0)
-    r = r.withColumn("m", F.least(m, F.lit(float(most)))).withColumn("whole", F.floor("m").cast("int")).withColumn("p", F.col("m") - F.col("whole"))
+    levels = stage(rows.groupBy("source", "_level").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "levels")
+    sums = levels.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"))
+    known = targets_of(sums.select("source", "source_size"), weights, most).alias("t").join(sums.alias("s"), F.expr("t.source <=> s.source")).selectExpr("t.source", "t.source_size", "target", "n")
+    known = stage(known, "targets")
+    expected = stage(_expected(levels, known, most), "expected")
+    r = rows.alias("r").join(F.broadcast(expected).alias("k"), F.expr("r.source <=> k.source AND r._level <=> k._level")).select("r.*", "k.source_size", "k.target", "k.n", "k.m")
+    r = r.withColumn("whole", F.floor("m").cast("int")).withColumn("p", F.col("m") - F.col("whole"))
     odds = F.col("_u") / (1 - F.col("_u")) * (1 - F.col("p")) / F.col("p")
-    buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("n") / BUCKET_ROWS))
+    buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     r = r.withColumn("q", F.when(F.col("p") > 0, odds / (1 + odds))).withColumn("bucket", F.floor(F.col("q") * buckets))
     by = Window.partitionBy("source").orderBy("bucket")
     cuts = r.groupBy("source", "bucket").agg(
