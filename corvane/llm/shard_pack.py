@@ -9,8 +9,9 @@ what the large groups have left it; a cell's smallest groups, with a tenth of it
 so that the law holds also where the measures pull apart. Cells work alone, and their small errors do not add up to a bias, as the shards'
 order is turned by the cell's number.
 
-Defined results: null text has size 1 and no tokens, and null texts are one group; repeated rows each get a slot; an
-empty table gives an empty result; further columns are ignored.
+Defined results: null text has size 1 and no tokens, and null texts are one group; repeated rows each get a slot; groups
+of equal size are taken by the digest of their text; a very long text is a group like others, alone in its shard's room
+if it must be; an empty table gives an empty result; further columns are ignored by pack() and kept by write_shards().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, stage, table, words_of
+from .common import bytes_of, fresh, stage, table, words_of
 
 SHARDS = 16
 DIMS = ["size", "tokens", "rows"]
@@ -37,19 +38,21 @@ def place(vectors: np.ndarray, room: np.ndarray, first: int = 0, last: float = 0
     turn = (np.arange(n) + first) % n
     rest = vectors[:, 0].sum() if len(vectors) else 0.0
     for i, v in enumerate(vectors):
-        s = turn[int(np.argmax((room @ v if rest > last else room[:, 0])[turn]))]
+        gains = np.round(room @ v if rest > last else room[:, 0], 12)  # sums in another order tie alike
+        s = turn[int(np.argmax(gains[turn]))]
         rest -= v[0]
         out[i] = s
         room[s] -= v
     return out
 
 
-def pack(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, size, text_crc32, tokens, shard, slot."""
+def pack(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, size, text_crc32, tokens, shard, slot; and the columns in keep as k_<name>."""
+    kept = [f"k_{c}" for c in keep]
     spark = docs.sparkSession
     rows = docs.select(
         "doc_id", (bytes_of("text") + 1).alias("size"), words_of("text").alias("tokens"),
-        F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("key"),
+        F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("key"), *[F.col(c).alias(f"k_{c}") for c in keep],
     ).withColumn("key", F.coalesce("key", F.lit(b"null")))
     rows = stage(rows, "rows")
     groups = stage(rows.groupBy("key").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "groups")
@@ -84,21 +87,23 @@ def pack(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     small = items.where(F.col("part") <= shards / LARGE).withColumn("cell", F.pmod(F.xxhash64("key", "piece"), F.lit(cells)))
     assigned = small.groupBy("cell").applyInPandas(cell, "key binary, piece int, shard int")
     fixed = [(bytearray(k), int(p), int(s)) for k, p, s in zip(large["key"], large["piece"], large["shard"], strict=True)]
-    assigned = assigned.unionByName(spark.createDataFrame(fixed, "key binary, piece int, shard int"))
-    placed = keyed.join(assigned, ["key", "piece"]).withColumn("part", F.spark_partition_id())
-    placed = stage(placed.select("doc_id", "size", "text_crc32", "tokens", "shard", "part"), "placed")
+    # rows of large groups learn their shard where they are; only those of small groups move to meet theirs
+    fixed = F.broadcast(spark.createDataFrame(fixed, "key binary, piece int, shard int"))
+    known = keyed.join(fixed, ["key", "piece"], "left")
+    placed = known.where("shard IS NOT NULL").unionByName(known.where("shard IS NULL").drop("shard").join(assigned, ["key", "piece"]).select(*known.columns))
+    placed = placed.withColumn("part", F.spark_partition_id())
+    placed = stage(placed.select("doc_id", "size", "text_crc32", "tokens", "shard", "part", *kept), "placed")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     rank = F.row_number().over(Window.partitionBy("part", "shard").orderBy("doc_id", "size", "text_crc32"))
-    return placed.withColumn("rank", rank).join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("rank") - 1 + F.col("offset")).cast("long").alias("slot"))
+    return placed.withColumn("rank", rank).join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", "tokens", "shard", *kept, (F.col("rank") - 1 + F.col("offset")).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The rows with their texts, a folder for each shard."""
-    at = pack(docs, shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    keyed = docs.select("doc_id", "text", F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"))
-    same = (keyed["text_crc32"] == at["text_crc32"]) & keyed["doc_id"].eqNullSafe(at["doc_id"])
-    keyed.join(at, same).select(keyed["doc_id"], keyed["text"], "shard", "slot").write.partitionBy("shard").parquet(path)
+    """Every row with all its columns and its slot, a folder for each shard."""
+    packed = pack(docs, shards, tuple(docs.columns))
+    shard, slot = fresh("shard", docs.columns), fresh("slot", docs.columns)
+    packed.select(*[F.col(f"k_{c}").alias(c) for c in docs.columns], F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
 
 
 def op3_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
