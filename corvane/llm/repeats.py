@@ -11,8 +11,8 @@ A byte is removed if a string of LENGTH (50) bytes that covers it also starts in
 4. There equal contexts are merged, those that can't share a window with another (none has the same 13 bytes before or
    after the anchor) are set aside, and over the others of some anchors at a time (INDEX bytes, or one anchor's) a
    run-length compressed Burrows-Wheeler transform is built: run heads, run starts, symbol counts before each run, and
-   suffix-array samples at run ends. Longest common prefixes are compared at run heads only and counted on along
-   LF steps. All contexts are streamed through the index by LF steps, from their end; the matching statistic of each
+   suffix-array samples at run ends; the suffix array and the transform itself are not kept. Longest common prefixes are
+   compared at run heads only, with the suffix that a sampled run end gives, and counted on along LF steps. All contexts are streamed through the index by LF steps, from their end; the matching statistic of each
    window (is it at least 50, and the smallest doc_id in its interval) says which windows an earlier document has.
 5. Each batch gets back a bit for each window of each of its contexts, marks bytes and digests what is left. A document
    that is not the smallest of its batch with a context has all of the context's windows from that smallest one.
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, map_batches, stage, table, work_dir
+from .common import bytes_of, delete, map_batches, stage, table, unstage, work_dir
 from .token_store import mix64
 
 LENGTH, GRAM = 50, 24
@@ -180,38 +180,43 @@ class RunIndex:
         #: Row that LF gives for the first row of each run.
         self.run_to = np.empty(len(by), np.int64)
         self.run_to[by] = before + smaller[self.run_symbol[by]]
+        #: The run before each with the same symbol, or -1: its end is the row above the run's start after an LF step.
+        self.run_before = np.full(len(by), -1)
+        self.run_before[by[1:]] = np.where(first[1:], -1, by[:-1])
         self.n, self.m = n, m
-        #: Run of each row, expanded while strings are streamed; a stored index would search run_start.
-        self._run_of = np.repeat(np.arange(len(by)), lengths)
+        # from here on rows are known by runs and samples alone
         self._walk = self._stream()
-        self._same = self._matching(symbols, order, heads)
+        self._same = self._matching(symbols)
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """LF: rows of the suffixes one symbol longer."""
-        run = self._run_of[rows]
-        return self.run_to[run] + rows - self.run_start[run]
+    def run_of(self, rows: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.run_start, rows, side="right") - 1
 
-    def _stream(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """All strings from their ends, a byte a step: those that still have one, and the rows of their suffixes. The i-th
-        terminator's suffix is row i."""
+    def _stream(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All strings from their ends by LF, a byte a step: those that still have one, the rows of their suffixes, and the
+        run that the step began with where it began at the run's start, else -1. The i-th terminator's suffix is row i."""
         out = []
         live = rows = np.arange(self.m)
         for d in range(int(self.sizes.max(initial=0))):
             keep = self.sizes[live] > d
-            live, rows = live[keep], self.step(rows[keep])
-            out.append((live, rows))
+            live, above = live[keep], rows[keep]
+            run = self.run_of(above)
+            within = above - self.run_start[run]
+            rows = self.run_to[run] + within
+            out.append((live, rows, np.where(within == 0, run, -1)))
         return out
 
-    def _matching(self, symbols, order, heads) -> np.ndarray:
-        """For each row: do its first LENGTH bytes equal those of the row above?"""
+    def _matching(self, symbols: np.ndarray) -> np.ndarray:
+        """For each row: do its first LENGTH bytes equal those of the row above? Within a run the common prefix grows by one
+        with an LF step; at its start the row above is that of the sampled end of the run before with the same symbol."""
         lcp = np.zeros(self.n, np.int16)
-        value, above = np.zeros(self.m, np.int64), np.arange(self.m)
-        for live, rows in self._walk:
-            head = heads[above[live]]
+        value = np.zeros(self.m, np.int64)
+        for d, (live, rows, run) in enumerate(self._walk, 1):
+            head = run >= 0
             value[live] = np.where(head, 0, value[live] + 1)
-            above[live] = rows
-            own = np.flatnonzero(head & (rows > 0))
-            at, a, b = live[own], order[rows[own]], order[rows[own] - 1]
+            other = np.where(head, self.run_before[run], -1)
+            own = np.flatnonzero(other >= 0)
+            at = live[own]
+            a, b = self.starts[at] + self.sizes[at] - d, self.run_end_sample[other[own]] - 1
             for j in range(LENGTH):  # irreducible values: compared up to LENGTH
                 if not len(at):
                     break
@@ -230,9 +235,9 @@ class RunIndex:
         least = np.full(interval[-1] + 1, np.iinfo(np.int64).max)
         out = np.full((self.m, windows), np.iinfo(np.int64).max)
         deep = list(enumerate(self._walk[LENGTH - 1 :], LENGTH))
-        for _, (live, rows) in deep:
+        for _, (live, rows, _) in deep:
             np.minimum.at(least, interval[rows], owner[live])
-        for d, (live, rows) in deep:
+        for d, (live, rows, _) in deep:
             out[live, self.sizes[live] - d] = least[interval[rows]]
         return out
 
@@ -352,8 +357,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     total = docs.agg(F.sum(bytes_of("text"))).first()[0] or 0
-    name = f"corvane_{work_dir(spark).rsplit('-', 1)[1]}"
-    _batches(docs).write.option("path", f"{work_dir(spark)}/batches").option("compression", "none").bucketBy(parts, "b").saveAsTable(name)
+    folder = work_dir(spark)
+    name = f"corvane_{folder.rsplit('-', 1)[1]}"
+    _batches(docs).write.option("path", f"{folder}/batches").option("compression", "none").bucketBy(parts, "b").saveAsTable(name)
     held = spark.table(name)
     bits = min(64, max(32, math.ceil(math.log2(max(2, total / 13))) + 14))
     ranges = max(min(parts, 1 + total // (1 << 20)), total // RANGE_BYTES + 1)
@@ -440,7 +446,12 @@ def repeated(docs: DataFrame) -> DataFrame:
         return run
 
     full = held.join(mine, "b", "left").join(found, "b", "left")
-    return map_batches(full, make_result, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string", 1)
+    out = map_batches(full, make_result, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string", 1)
+    out = stage(out, "repeats")
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, folder)
+    unstage(known, masks)
+    return out
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
