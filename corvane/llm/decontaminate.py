@@ -7,10 +7,10 @@ spans of hits are mapped back to offsets in the original text.
 
 The automaton is built from the broadcast windows once in each Python worker. Windows are broadcast in blocks of at most
 BLOCK_BYTES; a larger benchmark takes further passes over the documents, each adding to the hits of the one before, so
-what is held never grows with the benchmark or the corpus.
+what is held never grows with the benchmark or the corpus; what a pass leaves is staged before the next.
 
 Defined results: null or wordless text has no words and no hits; a null item_id counts as no item in the list of ids but
-its windows hit; items without words are ignored; repeated rows are judged alike; an empty benchmark hits nothing;
+its windows hit; items without words are ignored; a very long text is scanned whole, as one line; item ids are integers; repeated rows are judged alike; an empty benchmark hits nothing;
 further columns of documents are dropped by scan() and kept by drop_contaminated().
 """
 
@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, table
+from .common import map_batches, stage, table, unstage
 
 WINDOW = 10
 #: Of normalised windows held by one automaton; about 40 times that in memory at the very most.
@@ -44,16 +45,16 @@ def windows_of(text: str | None, window: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
 
 
-def window_blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> Iterator[dict[bytes, list]]:
+def window_blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> Iterator[dict[bytes, dict]]:
     """Windows with the ids of their items, in blocks of bounded size; at least one block."""
     block, held = {}, 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         for w in windows_of(row["text"], window):
             if w not in block:
-                block[w], held = [], held + len(w) + 64
+                block[w], held = {}, held + len(w) + 64
             if row["item_id"] not in block[w]:
-                block[w].append(row["item_id"])
-                held += 8
+                block[w][row["item_id"]] = None
+                held += 64
             if held > most:
                 yield block
                 block, held = {}, 0
@@ -63,11 +64,11 @@ def window_blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_
 class Scanner:
     """Finds the windows of one block."""
 
-    def __init__(self, block: dict[bytes, list]):
+    def __init__(self, block: dict[bytes, dict]):
         import ahocorasick
 
         self.found = ahocorasick.Automaton()
-        self.ids = list(block.values())
+        self.ids = [list(x) for x in block.values()]
         for k, w in enumerate(block):
             self.found.add_word(f" {w.decode('latin-1')} ", (k, w.count(b" ") + 1, len(w)))
         if block:
@@ -120,26 +121,34 @@ def kept_scanner(key: str, shared) -> Scanner:
     return _SCANNERS[key]
 
 
-def _scanner_of(spark: SparkSession, block: dict[bytes, list]) -> Callable[[], Scanner]:
+def _scanner_of(spark: SparkSession, block: dict[bytes, dict]) -> tuple[Broadcast, Callable[[], Scanner]]:
     shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-    return lambda: kept_scanner(key, shared)
+    return shared, lambda: kept_scanner(key, shared)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> one row a document: n_words, n_hit, items (sorted ids found), runs
     (hit words, flat from-to pairs) and spans (the same as offsets in the original text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    out = docs
-    for k, block in enumerate(window_blocks(benchmark, window, block_bytes)):
-        if k:
-            out = stage(out, "hits")
-        out = _pass(out, block, k > 0)
-    return out.drop("text")
+    return _by_blocks(docs, benchmark, window, block_bytes, _pass).drop("text")
 
 
-def _pass(docs: DataFrame, block: dict[bytes, list], more: bool) -> DataFrame:
-    scanner_of = _scanner_of(docs.sparkSession, block)
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, step: Callable[[DataFrame, Callable[[], Scanner], bool], DataFrame]) -> DataFrame:
+    """step with one block's scanner after the other; what a block leaves is staged before the next one is broadcast."""
+    before: list = []
+    for block in window_blocks(benchmark, window, block_bytes):
+        if before:
+            held, staged = before
+            docs = stage(docs, "passed")
+            held.destroy()
+            if staged is not None:
+                unstage(staged)
+        shared, scanner_of = _scanner_of(docs.sparkSession, block)
+        before, docs = [shared, docs if before else None], step(docs, scanner_of, bool(before))
+    return docs
+
 
+def _pass(docs: DataFrame, scanner_of: Callable[[], Scanner], more: bool) -> DataFrame:
     def make():
         scanner = scanner_of()
 
@@ -172,12 +181,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    for block in window_blocks(benchmark, window, block_bytes):
-        docs = _clean(docs, _scanner_of(docs.sparkSession, block))
-    return docs
+    return _by_blocks(docs, benchmark, window, block_bytes, _clean)
 
 
-def _clean(docs: DataFrame, scanner_of: Callable[[], Scanner]) -> DataFrame:
+def _clean(docs: DataFrame, scanner_of: Callable[[], Scanner], more: bool) -> DataFrame:
     def run(batches):
         scanner = scanner_of()
         for batch in batches:
