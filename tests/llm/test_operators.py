@@ -217,6 +217,13 @@ def test_decontamination_without_items_or_documents(spark, docs, nothing):
     assert decontaminate.drop_contaminated(docs, none).count() == docs.count()
 
 
+def test_drop_contaminated_in_blocks(spark, docs):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench, block_bytes=600)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, t, _ in data.texts() if not data.contamination(t, ITEMS)[1])
+    assert kept.columns == docs.columns and kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 # ---- 3: sharding ----------------------------------------------------------------------------------------------------
 def check_shards(rows, texts, shards):
     by: dict = {}
@@ -225,7 +232,7 @@ def check_shards(rows, texts, shards):
         by.setdefault(shard, []).append((slot, size))
     for own in by.values():
         assert sorted(s for s, _ in own) == list(range(len(own)))
-    assert sorted((d, s, c) for d, s, c, *_ in rows) == sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts)
+    assert sorted_rows((d, s, c) for d, s, c, *_ in rows) == sorted_rows((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts)
     return by
 
 
@@ -255,6 +262,50 @@ def test_shards_balance_and_keep_groups(spark):
     assert max(map(len, where.values())) == 1
 
 
+def shards_by_brute_force(texts, shards, cells):
+    """doc_id -> shard: groups by text, the large ones first, then those of each cell. cells: of each text."""
+    groups: dict = {}
+    for d, t in texts:
+        groups.setdefault(t, []).append(d)
+    vectors = {t: [(len((t or "").encode()) + 1) * len(own), len((t or "").split()) * len(own), len(own)] for t, own in groups.items()}
+    total = [max(1.0, sum(v[i] for v in vectors.values())) / shards for i in range(3)]
+    part = {t: max(x / y for x, y in zip(v, total, strict=True)) for t, v in vectors.items()}
+    name = {t: hashlib.sha256(t.encode()).hexdigest() if t is not None else b"null".hex() for t in groups}
+    order = sorted(groups, key=lambda t: (-part[t], name[t]))
+    where = {}
+
+    def put(some, scale, room, turn, last):
+        left = sum(vectors[t][0] / scale[0] for t in some)
+        for t in some:
+            v = [x / y for x, y in zip(vectors[t], scale, strict=True)]
+            gain = lambda s: sum(a * b for a, b in zip(room[s], v, strict=True)) if left > last else room[s][0]  # noqa: B023, E731
+            at = max((s for s in range(shards)), key=lambda s: (round(gain(s), 12), -((s - turn) % shards)))
+            where[t], left = at, left - v[0]
+            room[at] = [a - b for a, b in zip(room[at], v, strict=True)]
+
+    room = [[1.0] * 3 for _ in range(shards)]
+    put([t for t in order if part[t] > shards / shard_pack.LARGE], total, room, 0, 0.0)
+    free = [[max(0.0, x) for x in r] for r in room]
+    sums = [max(1e-12, sum(r[i] for r in free)) for i in range(3)]
+    free = [[x / y for x, y in zip(r, sums, strict=True)] for r in free]
+    for c in sorted(set(cells.values())):
+        some = [t for t in order if part[t] <= shards / shard_pack.LARGE and cells[t] == c]
+        scale = [max(1e-12, float(sum(vectors[t][i] for t in some))) for i in range(3)]
+        put(some, scale, [list(r) for r in free], c, shard_pack.LAST)
+    return {d: where[t] for t, own in groups.items() for d in own}
+
+
+@pytest.mark.parametrize("cell", [8192, 200])
+def test_shards_by_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(shard_pack, "CELL_GROUPS", cell)
+    rows = [(i, data.words(i % 900, 1 + (i % 900) % 37), "s") for i in range(1100)] + [(5000 + i, None, "s") for i in range(30)] + [(6000, data.words(1, 4000), "s")]
+    texts = [(d, t) for d, t, _ in rows]
+    count = max(1, len({t for _, t in texts}) // cell)
+    keys = spark.createDataFrame([(t,) for t in {t for _, t in texts}], "t string").selectExpr("t", f"pmod(xxhash64(coalesce(unhex(sha2(t, 256)), cast('null' as binary)), 0), {count}) c")
+    got = {r["doc_id"]: r["shard"] for r in shard_pack.pack(data.frame(spark, rows), 8).collect()}
+    assert got == shards_by_brute_force(texts, 8, dict(collected(keys)))
+
+
 def test_shards_split_a_group_that_is_larger_than_a_shard(spark):
     rows = [(i, "hot " * 20, "s") for i in range(900)] + [(1000 + i, data.words(i, 30), "s") for i in range(900)]
     by = check_shards(collected(shard_pack.pack(data.frame(spark, rows), 8)), [(d, t) for d, t, _ in rows], 8)
@@ -263,13 +314,18 @@ def test_shards_split_a_group_that_is_larger_than_a_shard(spark):
 
 
 def test_shards_of_nulls_and_nothing(spark, nulls, nothing):
-    assert shard_pack.pack(nulls).count() == len(ALL)
+    check_shards(collected(shard_pack.pack(nulls)), ALL, 16)
     assert shard_pack.pack(nothing).count() == 0
 
 
 def test_shards_written(spark, docs, tmp_path):
-    shard_pack.write_shards(docs.dropDuplicates(["doc_id"]), str(tmp_path / "s"), 3)
-    assert spark.read.parquet(str(tmp_path / "s")).select("doc_id", "text").exceptAll(docs.select("doc_id", "text").dropDuplicates(["doc_id"])).count() == 0
+    shard_pack.write_shards(docs, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted_rows(collected(back.select(docs.columns))) == sorted_rows(collected(docs))
+    by: dict = {}
+    for r in back.collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
 # ---- 4: near duplicates ---------------------------------------------------------------------------------------------
@@ -489,6 +545,68 @@ def test_mixing(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def mix_by_brute_force(rows, hashes, measure, bucket_rows):
+    """doc_id -> copies. rows: distinct (doc_id, text, source); hashes: of each doc_id."""
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    out = {}
+    for source, target in fixed_point(sizes).items():
+        own = [(d, len((t or "").split()), 2 ** (math.floor(math.log2(measure(t)) * mixing.LEVELS) / mixing.LEVELS)) for d, t, s in rows if s == source]
+        low, high = 0.0, 1e6  # the factor, by halving
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(3, mid * w) * n for _, n, w in own) < target else (low, mid)
+        m = {d: min(3, (low + high) / 2 * w) if sizes[source] else 0 for d, n, w in own}
+        m = {d: round(x) if abs(x - round(x)) < 1e-9 else x for d, x in m.items()}
+        buckets, ranked = math.ceil(len(own) / bucket_rows), []
+        for d, n, _ in own:
+            p = m[d] - math.floor(m[d])
+            if p > 0:
+                u = ((hashes[d] % (1 << 64) >> 11) + 0.5) / (1 << 53)
+                odds = u / (1 - u) * (1 - p) / p
+                ranked.append((odds / (1 + odds), d, n))
+        gap = target - sum(math.floor(m[d]) * n for d, n, _ in own)
+        out |= {d: math.floor(m[d]) for d, _, _ in own}
+        ranked.sort()
+        by: dict = {}
+        for q, d, n in ranked:
+            by.setdefault(math.floor(q * buckets), []).append((d, n))
+        for b in sorted(by):
+            if sum(n for _, n in by[b]) < gap and any(c > b for c in by):  # taken whole
+                out |= {d: out[d] + 1 for d, _ in by[b]}
+                gap -= sum(n for _, n in by[b])
+                continue
+            left = []
+            for d, n in by[b]:
+                if n <= gap:
+                    out[d], gap = out[d] + 1, gap - n
+                else:
+                    left.append((abs(n - gap), n, d))
+            near = [(abs(n - gap), i, d) for i, (_, n, d) in enumerate(left) if n < 2 * gap]
+            if near:
+                out[min(near)[2]] += 1
+            break
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 16])
+def test_mixing_by_brute_force(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(17)
+    rows = [(i, data.words(i, rng.randint(1, 80)), rng.choice(["a", "a", "a", "b", "c", "c", "é", None])) for i in range(900)] + [(1000, None, "a"), (1001, "", "z")]
+    docs = data.frame(spark, rows)
+    hashes = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(7, doc_id, text) h").collect()}
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    want = mix_by_brute_force(rows, hashes, lambda t: math.log(math.e + len((t or "").split())), bucket_rows)
+    assert got == want
+    expected: dict = {}
+    for r in mixing.mix(docs).collect():
+        expected.setdefault(r["source"], []).append((r["size"], r["copies"]))
+    long, short = ([c for n, c in expected["a"] if (n > 60) == x and n] for x in (True, False))
+    assert sum(long) / len(long) > sum(short) / len(short)  # inclusion odds are unequal
+
+
 def test_mixing_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
     rows = [(i, data.words(i, 1 + i % 30), "abc"[i % 3]) for i in range(900)]
@@ -512,7 +630,8 @@ def test_mixed_documents(spark, nulls, nothing):
     out = mixing.mixed(data.frame(spark))
     assert out.columns == nulls.columns and out.schema == nulls.schema
     assert {r["doc_id"] for r in out.collect()} == {d for (d, _), n in taken.items() if n}
-    assert mixing.mix(nulls).count() == len(ALL)
+    assert sorted_rows((r["doc_id"], r["size"]) for r in mixing.mix(nulls).collect()) == sorted_rows((d, len((t or "").split())) for d, t in ALL)
+    assert mixing.mix(nulls.selectExpr("*", "if(doc_id = 1, double('NaN'), if(doc_id = 5, -1, null)) AS w"), weight_col="w").where("taken > 0").count() == 0
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
