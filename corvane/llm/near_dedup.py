@@ -50,7 +50,7 @@ SHINGLE, SHARE = 5, 85
 ROWS, MISS = 5, 5e-7
 ODD_BITS, SET_BITS = 512, 1024
 BLOCK, FURTHER, CELL_ROWS = 2048, 8, 2048
-HOT, FEW = 4096, 1000
+HOT, FEW = 4096, 256
 
 _K = 125
 _SEEDS = mix64(np.arange(1, 1 + 2 * _K + 256 + 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
