@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import singledispatch
+from functools import reduce, singledispatch
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +62,24 @@ def _(node: Sorted) -> DataFrame:
     return frame(node.input).orderBy(*keys) if keys else frame(node.input)
 
 
+#: The most that Spark's own limit takes.
+LARGEST_LIMIT = 2**31 - 1
+
+
 @frame.register
 def _(node: Limited) -> DataFrame:
-    return frame(node.input).limit(node.n)
+    """A limit that Spark's own can't take counts its input first: mostly there is nothing to cut."""
+    source = frame(node.input)
+    if node.n <= LARGEST_LIMIT:
+        return source.limit(node.n)
+    left = node.n if source.count() > node.n else 0
+    if not left:
+        return source
+    parts = []
+    while left > 0:
+        parts.append(source.limit(min(left, LARGEST_LIMIT)))
+        source, left = source.offset(LARGEST_LIMIT), left - LARGEST_LIMIT
+    return reduce(DataFrame.unionAll, parts)
 
 
 def lower(node: Node) -> DataFrame:

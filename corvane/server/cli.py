@@ -33,7 +33,7 @@ class Client:
         self.socket.sendall(frame(REQUEST, sql.encode()))
         got = read_frame(self.file.read)
         if got is None:
-            raise ConnectionError("connection closed by server")
+            raise ConnectionError("the service has hung up")
         kind, payload = got
         return payload.decode() if kind == ERROR else decode_result(payload)
 

@@ -8,21 +8,26 @@ dictionary and u32 runs.
 Data: validity bits, then numbers; bits; u32 offsets and bytes; u32 codes; or no validity
 and (u32 code, u32 length, u8 null) a run.
 
-The source reads one partition a chunk, decodes with numpy into Arrow, and skips chunks by their smallest and largest
+The source reads files and folders, and writes folders. It reads one partition a chunk, decodes with numpy into Arrow, and skips chunks by their smallest and largest
 values for filters that Spark pushes down.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from .zone_maps import ZoneMap
 
@@ -204,33 +209,120 @@ def read_chunk(f, column: ChunkColumn, k: int) -> pa.Array:
 @dataclass
 class _Part(InputPartition):
     k: int = 0
+    file: int = 0
 
-    def __init__(self, k: int):
-        self.k = k
+    def __init__(self, k: int, file: int = 0):
+        self.k, self.file = k, file
 
 
 class ChunkSource(DataSource):
-    """spark.dataSource.register(ChunkSource); spark.read.format("corvane_chunks").load(path)"""
+    """spark.dataSource.register(ChunkSource); spark.read.format("corvane_chunks").load(path), a file or a folder, with option
+    columns ("a, b") to read those alone; frame.write.format("corvane_chunks").mode("append").save(folder), with option
+    encoding (plain, dictionary or runs) for text."""
 
     @classmethod
     def name(cls) -> str:
         return "corvane_chunks"
 
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c.name, _SPARK[c.type]) for c in read_footer(self.options["path"])])
+        columns = {c.name: c for c in read_footer(files_of(self.options["path"])[0])}
+        return T.StructType([T.StructField(n, _SPARK[columns[n].type]) for n in self._names() or columns])
+
+    def _names(self) -> list[str]:
+        return [n.strip() for n in self.options.get("columns", "").split(",") if n.strip()]
 
     def reader(self, schema: T.StructType) -> ChunkReader:
-        return ChunkReader(self.options["path"])
+        return ChunkReader(self.options["path"], self._names() or None)
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> ChunkWriter:
+        return ChunkWriter(self.options["path"], schema, overwrite, {"plain": PLAIN, "dictionary": DICTIONARY, "runs": RUNS}[self.options.get("encoding", "plain").lower()])
+
+
+SUFFIX = ".cef"
+
+
+def files_of(path: str) -> list[str]:
+    """The chunk files of a folder, or the file itself."""
+    path = path.removeprefix("file://")
+    if not os.path.isdir(path):
+        return [path]
+    found = sorted(f"{path}/{f}" for f in os.listdir(path) if f.endswith(SUFFIX))
+    if not found:
+        raise FormatError("the folder has no chunk files")
+    return found
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
+class ChunkWriter(DataSourceArrowWriter):
+    """Each task writes files of at most FILE_ROWS rows under hidden names; the driver shows them when all are done. The
+    folder must be one that all machines see."""
+
+    FILE_ROWS = 64 * 2048
+
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool, encoding: int):
+        self.path, self.overwrite, self.encoding = path.removeprefix("file://"), overwrite, encoding
+        kinds = {type(v): k for k, v in _SPARK.items()}
+        for f in schema.fields:
+            if type(f.dataType) not in kinds:
+                raise FormatError(f"column {f.name} of type {f.dataType.simpleString()} can't be stored")
+        self.columns = [(f.name, kinds[type(f.dataType)]) for f in schema.fields]
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        os.makedirs(self.path, exist_ok=True)
+        files: list[str] = []
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            values = [[x for b in held for x in b.column(k).to_pylist()] for k in range(len(self.columns))]
+            files.append(f"part-{uuid.uuid4().hex}{SUFFIX}")
+            encodings = {n: self.encoding for n, t in self.columns if t == VARCHAR}
+            write_chunks(f"{self.path}/.{files[-1]}", [(n, t, v) for (n, t), v in zip(self.columns, values, strict=True)], 2048, encodings)
+            held.clear()
+
+        for batch in batches:
+            while batch.num_rows:
+                room = self.FILE_ROWS - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in held) == self.FILE_ROWS:
+                    flush()
+        if held:
+            flush()
+        return _Written(files)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        old = [f for f in os.listdir(self.path) if f.endswith(SUFFIX) and not f.startswith(".")] if self.overwrite and os.path.isdir(self.path) else []
+        new = [f for m in messages if m for f in m.files]
+        if not new and not (os.path.isdir(self.path) and set(os.listdir(self.path)) - set(old)):
+            os.makedirs(self.path, exist_ok=True)  # no rows: a file with the columns alone
+            new = [f"part-{uuid.uuid4().hex}{SUFFIX}"]
+            write_chunks(f"{self.path}/.{new[0]}", [(n, t, []) for n, t in self.columns])
+        for f in new:
+            os.rename(f"{self.path}/.{f}", f"{self.path}/{f}")
+        for f in old:
+            os.remove(f"{self.path}/{f}")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        for f in [f for m in messages if m for f in m.files]:
+            with suppress(FileNotFoundError):
+                os.remove(f"{self.path}/.{f}")
 
 
 class ChunkReader(DataSourceReader):
     TESTS = {EqualTo: "=", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">="}
 
-    def __init__(self, path: str):
-        self.path = path
-        self.columns = read_footer(path)
-        if len({tuple(z.zone.rows for z in c.chunks) for c in self.columns}) > 1:
-            raise FormatError("columns have different chunks")
+    def __init__(self, path: str, names: list[str] | None = None):
+        """names: the columns to read, in this order; all if None."""
+        self.files = []
+        for f in files_of(path):
+            columns = read_footer(f)
+            if len({tuple(z.zone.rows for z in c.chunks) for c in columns}) > 1:
+                raise FormatError("columns have different chunks")
+            self.files.append((f, [{c.name: c for c in columns}[n] for n in names] if names else columns))
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -241,14 +333,18 @@ class ChunkReader(DataSourceReader):
             yield f  # chunks only; Spark still tests rows
 
     def partitions(self) -> list[InputPartition]:
-        zones = {c.name: [k.zone for k in c.chunks] for c in self.columns}
-        n = len(self.columns[0].chunks) if self.columns else 0
-        return [_Part(k) for k in range(n) if all(zones[c][k].may_match(op, v) for c, op, v in self.tests)]
+        out: list[InputPartition] = []
+        for i, (_, columns) in enumerate(self.files):
+            zones = {c.name: [k.zone for k in c.chunks] for c in columns}
+            n = len(columns[0].chunks) if columns else 0
+            out += [_Part(k, i) for k in range(n) if all(zones[c][k].may_match(op, v) for c, op, v in self.tests)]
+        return out
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as f:
-            arrays = [read_chunk(f, c, partition.k) for c in self.columns]
-        yield pa.RecordBatch.from_arrays(arrays, names=[c.name for c in self.columns])
+        path, columns = self.files[partition.file]
+        with open(path, "rb") as f:
+            arrays = [read_chunk(f, c, partition.k) for c in columns]
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.name for c in columns])
 
 
 def register(spark: SparkSession) -> None:

@@ -106,13 +106,13 @@ def test_service_and_client(spark, capsys):
     from corvane.server.service import Service
 
     e = Engine(spark).register("t", spark.createDataFrame([(1, 2.5, True, "x"), (2, None, None, None)], "a int, d double, b boolean, s string"))
-    with Service(("127.0.0.1", 0), e, max_rows=5) as service:
+    with Service(("127.0.0.1", 0), e, workers=2) as service:
         threading.Thread(target=service.serve_forever, daemon=True).start()
         client = Client(*service.server_address)
         got = client.query("SELECT a, d, b, s FROM t ORDER BY a")
         assert shown(got) == "a | d | b | s\n1 | 2.5000 | true | x\n2 | NULL | NULL | NULL\n(2 rows)"
         assert client.query("SELECT a FROM t WHERE a > 9").names == ["a"]
-        assert client.query("SELECT nope FROM t") == "1:8: no such column: nope"
+        assert client.query("SELECT nope FROM t") == "1:8: column nope is unknown"
         run(client, "SELECT COUNT(*) AS n FROM t", sys.stdout, sys.stderr)
         run(client, "SELECT", sys.stdout, sys.stderr)
         said = capsys.readouterr()
@@ -120,3 +120,42 @@ def test_service_and_client(spark, capsys):
         assert "OVERFLOW" in client.query("SELECT a + 9223372036854775807 AS x FROM t")
         client.close()
         service.shutdown()
+
+
+def test_service_answers_more_connections_than_workers(spark):
+    from corvane.server.cli import Client
+    from corvane.server.service import Service
+
+    e = Engine(spark).register("t", spark.range(10))
+    with Service(("127.0.0.1", 0), e, workers=2) as service:
+        threading.Thread(target=service.serve_forever, daemon=True).start()
+        got = []
+
+        def ask():
+            client = Client(*service.server_address)
+            got.append(client.query("SELECT COUNT(*) AS n FROM t").rows)
+            client.close()
+
+        threads = [threading.Thread(target=ask) for _ in range(6)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert got == [[(10,)]] * 6
+        idle = Client(*service.server_address)
+        service.shutdown()
+    idle.close()
+
+
+def test_chunk_files_written_by_spark(spark, tmp_path):
+    chunk_file.register(spark)
+    rows = [(i, float(i) if i % 7 else None, i % 2 == 0, f"t{i % 5}" if i % 11 else None) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "i long, d double, b boolean, s string").repartitionByRange(3, "i")
+    path = str(tmp_path / "t")
+    frame.write.format("corvane_chunks").mode("append").option("encoding", "runs").save(path)
+    back = spark.read.format("corvane_chunks").load(path)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    few = spark.read.format("corvane_chunks").option("columns", "s, i").load(path)
+    assert few.columns == ["s", "i"] and few.where("i >= 4990").count() == 10
+    frame.limit(3).write.format("corvane_chunks").mode("overwrite").save(path)
+    assert spark.read.format("corvane_chunks").load(path).count() == 3
+    with pytest.raises(Exception, match="can't be stored"):
+        spark.sql("select array(1) as a").write.format("corvane_chunks").mode("append").save(str(tmp_path / "u"))
