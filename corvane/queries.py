@@ -6,12 +6,20 @@ decimals are doubles, nulls come first both ways, and AND / OR are null for a nu
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .errors import QueryError
+from .server.service import answer
+from .sources import chunk_file, datagen, wire
+from .sources.parquet import write_table
+from .sources.zone_maps import ZoneMap
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -132,9 +140,149 @@ def _query(text: str, digits: dict[str, int] | None = None) -> Callable[[SparkSe
     return run
 
 
+# ---- what is not a query's result: files, statistics, frames, messages ---------------------------------------------
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all of the session's machines see."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or tempfile.gettempdir()).removeprefix('file://')}/corvane-{uuid.uuid4().hex}"
+
+
+def _chunk_files(encoding: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All orders through chunk files and back, under a filter that the reader sees."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        chunk_file.register(spark)
+        folder = _folder(spark)
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority", (F.col("o_totalprice") > 100000).alias("large"))
+        orders.write.format("corvane_chunks").mode("append").option("encoding", encoding).save(folder)
+        back = spark.read.format("corvane_chunks").option("columns", "o_orderkey,o_totalprice,o_orderpriority,large").load(folder)
+        return Engine(spark).register("stored", back).sql("SELECT o_orderkey, o_totalprice, o_orderpriority, large FROM stored WHERE o_totalprice > 1000")
+
+    return run
+
+
+def _scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of orders in order of key, 2,048 rows each: how many a filter on the key skips."""
+    folder = _folder(spark)
+    write_table(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey"), f"file://{folder}")
+    stats = Engine(spark).register("stored", f"file://{folder}").scan_stats("SELECT o_orderkey FROM stored WHERE o_orderkey < 2048")
+    return spark.createDataFrame([(s.total_chunks, s.pruned_chunks, s.rows_produced) for s in stats], "total_chunks long, pruned_chunks long, rows_produced long")
+
+
+def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as a frame, read back."""
+    e = _Lazy(spark, sf_dir)
+    kind, payload = wire.read_frame(io.BytesIO(answer(e, "SELECT n_name, n_nationkey, n_nationkey / 2 AS half, n_nationkey > 10 AS later FROM nation ORDER BY n_name")).read)
+    result = wire.decode_result(payload)
+    return spark.createDataFrame([(*r, kind) for r in result.rows], "n_name string, n_nationkey long, half double, later boolean, frame int")
+
+
+def _error_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, payload = wire.read_frame(io.BytesIO(answer(_Lazy(spark, sf_dir), "SELECT nope FROM nation")).read)
+    return spark.createDataFrame([(kind, payload.decode())], "frame int, message string")
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).register("orders", datagen.orders(spark, 5000, 50)).register("customers", datagen.customers(spark, 50))
+    return e.sql("SELECT COUNT(*) AS n, MIN(o.order_id) AS least, MAX(o.order_id) AS most, MIN(o.quantity) AS few, MAX(o.quantity) AS many FROM orders o JOIN customers c ON o.customer_id = c.id")
+
+
+def _generated_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).register("orders", datagen.orders(spark, 5000, 50)).sql("SELECT status, region FROM orders GROUP BY status, region")
+
+
+def _in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _Lazy(spark, sf_dir).register("wanted", spark.createDataFrame([(1, "one"), (7, "seven"), (99, "none"), (None, "null")], "id int, label string"))
+    return e.sql("SELECT n.n_name, w.label FROM nation n JOIN wanted w ON n.n_nationkey = w.id")
+
+
+def _estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a result before it is run: a table's size in bytes is more than nothing and shrinks with columns."""
+    e = _Lazy(spark, sf_dir)
+    whole, part = (e.estimate(sql)[1] for sql in ("SELECT * FROM orders", "SELECT o_orderkey FROM orders"))
+    return spark.createDataFrame([(whole > 0, 0 < part < whole)], "known boolean, smaller boolean")
+
+
+EXPLAINED = "SELECT c.c_mktsegment, COUNT(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 1000 GROUP BY c.c_mktsegment ORDER BY n DESC LIMIT 3"
+
+
+EXPLAIN_LINES = [
+    "Limit(3)",
+    "  Sort(n DESC)",
+    "    Project(c_mktsegment, n = COUNT(*))",
+    "      Aggregate(group_by=[c_mktsegment], aggs=[COUNT(*)])",
+    "        Filter((o_totalprice > 1000))",
+    "          Join(INNER, on=(o_custkey = c_custkey))",
+    "            Scan(orders, pruning=[o_totalprice > 1000], projects=2/6 cols)",
+    "            Scan(customer, projects=2/5 cols)",
+]
+
+
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _Lazy(spark, sf_dir).explain(EXPLAINED).rstrip().split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line long, text string")
+
+
+#: Texts that are refused, with where and why.
+REFUSED: list[tuple[str, int, int, str]] = [
+    ("SELECT (n_nationkey = 1) < (n_nationkey = 2) FROM nation", 1, 26, "< needs an ordered type, found BOOL and BOOL"),
+    ("SELECT n_name, COUNT(*) FROM nation", 1, 8, "n_name must be in GROUP BY or in an aggregate"),
+    ("SELECT SUM(COUNT(*)) FROM nation", 1, 12, "aggregates can't be nested"),
+    ("SELECT n.n_name FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey", 1, 48, "ON needs column = column"),
+    ("SELECT nope\nFROM nation", 1, 8, "column nope is unknown"),
+    ("SELECT n_name\nFROM nope", 2, 6, "table nope is unknown"),
+    ("SELECT n_name FROM nation LIMIT 9223372036854775808", 1, 33, "integer 9223372036854775808 is out of range"),
+]
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for sql, *_ in REFUSED:
+        try:
+            _Lazy(spark, sf_dir).sql(sql)
+        except QueryError as e:
+            out.append((sql, e.line, e.column, e.message))
+    return spark.createDataFrame(out, "sql string, line int, col int, message string")
+
+
+ZONES = [(10, 40, 10, True), (10, 40, 40, True), (10, 40, 9, False), (10, 40, 41, False), (None, None, 5, True)]
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(a, b, v, ZoneMap(a, b, 0, 1).can_contain(v)) for a, b, v, _ in ZONES], "least int, most int, value int, found boolean")
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    def literal(x) -> str:
+        return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({names})"
+
+
+_STORED = "SELECT o_orderkey, o_totalprice, o_orderpriority, o_totalprice > 100000 AS large FROM orders WHERE o_totalprice > 1000"
+#: name: (query, DuckDB)
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    **{f"chunk_file_{e}": (_chunk_files(e), _STORED) for e in ("plain", "dictionary", "runs")},
+    "scan_stats": (_scan_stats, """WITH c AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 2048 AS k, o_orderkey FROM orders),
+        z AS (SELECT k, min(o_orderkey) AS lo FROM c GROUP BY k)
+        SELECT count(*) AS total_chunks, count(*) FILTER (lo >= 2048) AS pruned_chunks, (SELECT count(*) FROM orders WHERE o_orderkey < 2048) AS rows_produced FROM z"""),
+    "wire_result": (_wire, "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_nationkey / 2 AS half, n_nationkey > 10 AS later, 2 AS frame FROM nation"),
+    "wire_error": (_error_frame, "SELECT 3 AS frame, '1:8: column nope is unknown' AS message"),
+    "generated_orders": (_generated, "SELECT 5000::BIGINT AS n, 0::BIGINT AS least, 4999::BIGINT AS most, 1::BIGINT AS few, 20::BIGINT AS many"),
+    "generated_domains": (_generated_domains, "SELECT status, region FROM (VALUES " + ", ".join(f"('{x}')" for x in datagen.STATUSES) + ") AS s(status), (VALUES " + ", ".join(f"('{x}')" for x in datagen.REGIONS) + ") AS r(region)"),
+    "in_memory_table": (_in_memory, "SELECT n_name, label FROM nation JOIN (VALUES (1, 'one'), (7, 'seven'), (99, 'none')) AS w(id, label) ON n_nationkey = id"),
+    "estimate": (_estimate, "SELECT TRUE AS known, TRUE AS smaller"),
+    "explain": (_explain, _values(list(enumerate(EXPLAIN_LINES)), "line, text")),
+    "refused": (_refused, _values(REFUSED, "sql, line, col, message")),
+    "zone_map": (_zones, _values(ZONES, "least, most, value, found")),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _query(t) for k, (t, _) in QUERIES.items()} | {k: _query(t, d) for k, (t, d, _) in ROUNDED.items()}
+    return {k: _query(t) for k, (t, _) in QUERIES.items()} | {k: _query(t, d) for k, (t, d, _) in ROUNDED.items()} | {k: f for k, (f, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: o or t for k, (t, o) in QUERIES.items()} | {k: o for k, (_, _, o) in ROUNDED.items()}
+    return {k: o or t for k, (t, o) in QUERIES.items()} | {k: o for k, (_, _, o) in ROUNDED.items()} | {k: o for k, (_, o) in OTHERS.items()}

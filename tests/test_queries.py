@@ -53,6 +53,7 @@ def test_imports_without_the_training_data_operators(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{root}/{f}", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sum(k[:2] == 'op' and k[2].isdigit() for k in e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
     assert said.stdout.split() == ["0", "False"]
