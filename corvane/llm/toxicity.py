@@ -15,7 +15,8 @@ K nearest vote with weight 1 / (1.05 - cosine), the sample's rate being a furthe
 the scored text itself are left out, in calibration and in scoring alike, so that no label is an input of its own score.
 Neighbours and the heaviest terms are the evidence.
 
-What comes to the driver and is broadcast is bounded by the sample. Rows whose
+Vocabulary and index are built by one task from the sample and broadcast as bytes, both bounded by the sample; each Python
+worker unpacks them once. Rows whose
 crc32(doc_id as text) mod 5 is 0 are never learned from. Scores depend on the text alone.
 
 Defined results: a text without vocabulary terms (empty and null ones too) has no neighbour, and its vote is the sample's
@@ -28,11 +29,15 @@ ignored by score() and kept by drop_toxic().
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +50,7 @@ STEMS = (5,)
 REPEATED = 3
 #: Relevance of a term that tells nothing, and the log-likelihood ratio at which relevance is a half.
 PLAIN, TELLING = 0.1, 20.0
-CHUNK = 1 << 14
+CHUNK, PART = 1 << 14, 4 << 20
 #: Terms whose weights stand in a full table, and queries multiplied by it at a time.
 DENSE, QUERIES = 1536, 256
 _STAR, _PLUS, _NONE = (pa.scalar(x, pa.large_string()) for x in ("*", "+", ""))
@@ -96,15 +101,23 @@ class Sample:
     """The vocabulary of the examples and their counts."""
 
     def __init__(self, texts: list[str | None]):
-        _, _, kinds = words_in(texts)
-        plain = pc.unique(pa.concat_arrays([k.drop_null() for k in kinds]))
+        parts = [texts[i : i + 256] for i in range(0, len(texts), 256)]
+        kinds = [pc.unique(pa.concat_arrays([k.drop_null() for k in words_in(p)[2]])) for p in parts]
+        plain = pc.unique(pa.concat_arrays(kinds)) if kinds else pa.array([], pa.large_string())
         plain = plain.filter(pc.not_equal(plain, "")).sort()
-        _, term, n = counts_of(texts, plain, np.full(len(plain), -1))
-        more = np.unique(term[n >= REPEATED])
+        counted = [counts_of(p, plain, np.full(len(plain), -1)) for p in parts]
+        self.doc = np.concatenate([np.zeros(0, np.int32), *((d + 256 * i).astype(np.int32) for i, (d, _, _) in enumerate(counted))])
+        self.term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for _, t, _ in counted)])
+        self.n = np.concatenate([np.zeros(0), *(n for _, _, n in counted)])
+        del counted
+        again = np.flatnonzero(self.n >= REPEATED)
+        more = np.unique(self.term[again])
         self.known = pa.concat_arrays([plain, pc.binary_join_element_wise(plain.take(pa.array(more)), _PLUS, _NONE)])
-        self.plus = np.full(len(self.known), -1)
+        self.plus = np.full(len(self.known), -1, np.int32)
         self.plus[more] = len(plain) + np.arange(len(more))
-        self.doc, self.term, self.n = counts_of(texts, self.known, self.plus)
+        doc, term = np.concatenate([self.doc, self.doc[again]]), np.concatenate([self.term, self.plus[self.term[again]]])
+        order = np.lexsort((term, doc))
+        self.doc, self.term, self.n = doc[order], term[order], np.concatenate([self.n, np.ones(len(again))])[order]
         self.size = len(texts)
 
 
@@ -256,9 +269,9 @@ class Model:
 
     def __init__(self, sample: Sample, ids: list[int], texts: list[str | None], labels: np.ndarray, df: np.ndarray, n_docs: int, k: int = K):
         self.known, self.plus, self.k = sample.known, sample.plus, k
-        self.factor = (np.log((n_docs + 1) / (df + 1)) + 1) * (relevance(sample, labels) if len(labels) else 1.0)
+        self.factor = (np.log((n_docs + 1) / (df + 1)) + 1) * relevance(sample, labels)
         self.ids, self.labels = np.array(ids, np.int64), labels.astype(np.int64)
-        self.base = (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0
+        self.base = (float(labels.sum()) + 0.5) / (len(labels) + 1)
         self.copies: dict[bytes, list[int]] = {}
         for i, t in enumerate(texts):
             self.copies.setdefault(digest(t), []).append(i)
@@ -274,11 +287,6 @@ class Model:
         w = 1 / (1.05 - np.minimum(cosines, 1.0))
         return float((self.base + w @ self.labels[found]) / (1.0 + w.sum()))
 
-    def calibrate(self, votes: np.ndarray) -> None:
-        """votes: of each example, without itself."""
-        self.knots = isotonic(votes, self.labels.astype(float))
-        self.own = None
-
     def votes_of_examples(self, some: np.ndarray) -> np.ndarray:
         """some: ascending."""
         doc, term, weight = self.own
@@ -289,10 +297,6 @@ class Model:
 
     def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text: score, cosines and examples found, its heaviest terms."""
-        if not len(self.labels):
-            for _ in texts:
-                yield 0.0, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return
         doc, term, n = counts_of(texts, self.known, self.plus)
         weight = self.weigh(doc, term, n, len(texts))
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
@@ -305,32 +309,83 @@ class Model:
             yield min(1.0, max(0.0, 0.99 * float(np.interp(raw, x, y)) + 0.01 * raw)), cosines, found, term[heaviest][np.argsort(-weight[heaviest], kind="stable")[:5]]
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> pa.Table:
-    """doc_id, text, toxic of the examples, in order of doc_id: at most so many rows and bytes."""
+def sample_of(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, toxic of the examples: at most so many rows and about so many bytes. Staged."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     order = F.xxhash64(F.lit(9), "doc_id")
     drawn = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(order, "doc_id").limit(examples)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 16)
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("key", order)
-    texts = stage(texts, "examples")
+    texts = stage(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("key", order), "examples")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most_bytes:  # whole rows in order of the hash, while they fit
-        share = most_bytes / total
-        texts = texts.where(F.col("key") < F.lit(int(share * (1 << 64)) - (1 << 63)))
-    out = texts.drop("key").toArrow().sort_by("doc_id")
-    unstage(texts)
-    return out
+    if total > most_bytes:  # whole rows, by the hash
+        texts = texts.where(F.col("key") < F.lit(int(most_bytes / total * (1 << 64)) - (1 << 63)))
+    return texts.drop("key")
+
+
+def _built(examples: DataFrame, build: Callable[[list, list, np.ndarray], object]) -> bytes | None:
+    """What one task builds of all examples (ids, texts, labels, in order of id), packed; the driver sees the bytes only. None
+    without examples."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches)).sort_by("doc_id") if (batches := [b for b in batches if b.num_rows]) else None
+        if rows is not None:
+            made = build(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), np.array(rows.column("toxic"), dtype=np.int64))
+            packed = zstandard.compress(pickle.dumps(made, protocol=5), 1)
+            for i in range(0, len(packed), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([packed[i : i + PART]], pa.binary())], names=["at", "data"])
+
+    parts = examples.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "at long, data binary").collect()
+    return b"".join(bytes(r["data"]) for r in sorted(parts, key=lambda r: r["at"])) or None
+
+
+_UNPACKED: dict[str, object] = {}
+
+
+class Shared:
+    """Something packed, broadcast; each Python worker unpacks it once and keeps the last few."""
+
+    def __init__(self, spark: SparkSession, packed: bytes):
+        self.key, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(packed)
 
+    def value(self):
+        if self.key not in _UNPACKED:
+            while len(_UNPACKED) > 1:
+                _UNPACKED.pop(next(iter(_UNPACKED)))
+            _UNPACKED[self.key] = pickle.loads(zstandard.decompress(self.held.value))
+        return _UNPACKED[self.key]
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K) -> Model:
+
+class Fitted(NamedTuple):
+    """A model, packed and broadcast, and its calibration; None without examples."""
+
+    shared: Shared | None
+    knots: tuple[np.ndarray, np.ndarray] | None
+
+    def model(self) -> Model | None:
+        """In a worker."""
+        if self.shared is None:
+            return None
+        model = self.shared.value()
+        model.knots = self.knots
+        return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K) -> Fitted:
     spark = docs.sparkSession
     rows = sample_of(docs, labels, examples)
-    texts = rows.column("text").to_pylist()
-    sample = Sample(texts)
-    shared = spark.sparkContext.broadcast((sample.known, sample.plus))
+
+    def vocabulary(ids, texts, labels):
+        sample = Sample(texts)
+        return sample.known, sample.plus
+
+    packed = _built(rows, vocabulary)
+    if packed is None:
+        unstage(rows)
+        return Fitted(None, None)
+    terms = Shared(spark, packed)
 
     def frequencies(batches):
-        known, plus = shared.value
+        known, plus = terms.value()
         df, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for part in slices(batch):
@@ -351,36 +406,41 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K
         df = np.zeros(CHUNK, np.int64)
         for t, n in zip(pdf["term"], pdf["df"], strict=True):
             df[t] += n
-        return pd.DataFrame({"at": pdf["at"].iloc[:1], "n": [pdf["n"].sum()], "df": [df]})
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "n": [pdf["n"].sum()], "df": [df.tobytes()]})
+
+    sums = found.groupBy("at").applyInPandas(add, "at long, n long, df binary").collect()  # eight bytes a term of the vocabulary
+    n_docs = sum(r["n"] for r in sums)
+    df = np.frombuffer(b"".join(bytes(r["df"]) for r in sorted(sums, key=lambda r: r["at"])), np.int64)
+    known_df = spark.sparkContext.broadcast(df)
 
-    df, n_docs = np.zeros(-(-len(sample.known) // CHUNK) * CHUNK or CHUNK, np.int64), 0
-    for r in found.groupBy("at").applyInPandas(add, "at long, n long, df array<long>").toArrow().to_pylist():  # the vocabulary's size
-        df[r["at"] : r["at"] + CHUNK] = r["df"]
-        n_docs += r["n"]
-    shared.destroy()
-    model = Model(sample, rows.column("doc_id").to_pylist(), texts, np.array(rows.column("toxic"), dtype=np.int64), df[: len(sample.known)], n_docs, k)
-    if len(texts):
-        own = spark.sparkContext.broadcast(model)
-        parts = max(1, min(len(texts) // 256, 2 * spark.sparkContext.defaultParallelism))
+    def model(ids, texts, labels):
+        sample = Sample(texts)
+        return Model(sample, ids, texts, labels, known_df.value[: len(sample.known)], n_docs, k)
 
-        def make():
-            return lambda batch: {"id": batch.column("id"), "vote": own.value.votes_of_examples(np.array(batch.column("id")))}
+    shared = Shared(spark, _built(rows, model))
+    n = rows.count()
+
+    def make():
+        return lambda batch: {"id": batch.column("id"), "vote": shared.value().votes_of_examples(np.array(batch.column("id"))), "label": shared.value().labels[np.array(batch.column("id"))]}
 
-        votes = map_batches(spark.range(0, len(texts), 1, parts), make, "id long, vote double").toArrow().sort_by("id")  # one row an example
-        own.destroy()
-        model.calibrate(np.array(votes.column("vote")))
-    return model
+    parts = max(1, min(n // 256, 2 * spark.sparkContext.defaultParallelism))
+    votes = sorted(tuple(r) for r in map_batches(spark.range(0, n, 1, parts), make, "id long, vote double, label long").collect())  # a row an example
+    terms.held.destroy()
+    known_df.destroy()
+    unstage(rows)
+    return Fitted(shared, isotonic(np.array([v for _, v, _ in votes]), np.array([float(y) for _, _, y in votes])))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score, neighbours (doc_ids), cosines, votes (their labels), matched (heaviest terms)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model = shared.value
+        model = fitted.model()
 
         def run(batch: pa.RecordBatch) -> dict:
             out: dict = {"doc_id": batch.column("doc_id"), "score": [], "neighbours": [], "cosines": [], "votes": [], "matched": []}
+            if model is None:
+                return out | {"score": [0.0] * batch.num_rows} | {c: [[]] * batch.num_rows for c in ("neighbours", "cosines", "votes", "matched")}
             for s, cosines, found, terms in model.score(batch.column("text").to_pylist()):
                 out["score"].append(s)
                 out["neighbours"].append(model.ids[found[:5]])
@@ -399,13 +459,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """The documents that score below `most`, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    fitted = fit(docs, labels)
 
     def run(batches):
-        model = shared.value
+        model = fitted.model()
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array([s < most for s, *_ in model.score(part.column("text").to_pylist())], pa.bool_()))
+                scores = [s for s, *_ in model.score(part.column("text").to_pylist())] if model else [0.0] * part.num_rows
+                yield part.filter(pa.array([s < most for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -763,11 +763,11 @@ def test_toxicity_sample_is_bounded_and_repeatable(spark):
     rows = [(i % 50, f"text {i} " * 20, "s") for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
     docs = data.frame(spark, rows)
-    got = toxicity.sample_of(docs, labels).to_pylist()
+    got = toxicity.sample_of(docs, labels).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == [min(t for d, t, _ in rows if d == r["doc_id"]) for r in got] and len(got) > 30
-    assert toxicity.sample_of(docs.repartition(5), labels, 20).num_rows == 20
+    assert toxicity.sample_of(docs.repartition(5), labels, 20).count() == 20
     few = toxicity.sample_of(docs, labels, 50, 3200)
-    assert 0 < few.num_rows < len(got) and sum(len(t) for t in few.column("text").to_pylist()) < 4800
+    assert 0 < few.count() < len(got) and sum(len(r["text"]) for r in few.collect()) < 4800
 
 
 def test_isotonic():
