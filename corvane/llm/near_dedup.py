@@ -329,11 +329,11 @@ def _often(total: int) -> int:
 def _attach(pairs: DataFrame, column: str, side: DataFrame) -> DataFrame:
     """pairs with the other columns of side(node, ...), as <name>_<column>, for pairs[column] = node."""
     named = side.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{column}") for c in side.columns if c != "node"])
-    often = _often(pairs.count())
-    hubs = pairs.groupBy(column).count().where(F.col("count") > often).select(column, F.ceil(F.col("count") / often).cast("int").alias("parts"))
-    hubs = stage(hubs, "hubs")
-    if not hubs.limit(1).count():
+    # the HOT commonest keys at most: what is not among them has less than 1/HOT of the rows, or FEW
+    hubs = pairs.groupBy(column).count().where(F.col("count") > FEW).orderBy(F.desc("count"), column).limit(HOT).collect()
+    if not hubs:
         return pairs.join(named, column)
+    hubs = pairs.sparkSession.createDataFrame([(r[0], -(-r[1] // FEW)) for r in hubs], f"{column} long, parts int")
     split = pairs.join(F.broadcast(hubs), column, "left")
     plain = split.where("parts IS NULL").drop("parts").join(named, column)
     copies = named.join(F.broadcast(hubs), column).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")

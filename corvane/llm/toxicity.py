@@ -180,7 +180,8 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
         #: For each other term and block that has it: the block, its largest weight, its postings.
         self.entry_block = (at[first] // block).astype(np.int32)
-        self.entry_most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.entry_most = np.nextafter(most.astype(np.float32), np.float32(2))  # rounded up: still a bound
         self.entry_start, self.entry_size = first.astype(np.int32), np.diff(np.append(first, len(entry))).astype(np.int32)
         self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1))
 
@@ -275,8 +276,7 @@ class Model:
         self.copies: dict[bytes, list[int]] = {}
         for i, t in enumerate(texts):
             self.copies.setdefault(digest(t), []).append(i)
-        self.own = sample.doc, sample.term, self.weigh(sample.doc, sample.term, sample.n, sample.size)
-        self.index = Index(*self.own, sample.size, len(self.known))
+        self.index = Index(sample.doc, sample.term, self.weigh(sample.doc, sample.term, sample.n, sample.size), sample.size, len(self.known))
         self.knots = (np.array([0.0]), np.array([0.0]))
 
     def weigh(self, doc: np.ndarray, term: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
@@ -287,26 +287,23 @@ class Model:
         w = 1 / (1.05 - np.minimum(cosines, 1.0))
         return float((self.base + w @ self.labels[found]) / (1.0 + w.sum()))
 
-    def votes_of_examples(self, some: np.ndarray) -> np.ndarray:
-        """some: ascending."""
-        doc, term, weight = self.own
-        keep = np.isin(doc, some)
-        copies = {i: own for own in self.copies.values() for i in own}
-        found = self.index.nearest(np.searchsorted(some, doc[keep]), term[keep], weight[keep], len(some), self.k, [copies[i] for i in some.tolist()])
-        return np.array([self.vote(*x) for x in found])
-
-    def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each text: score, cosines and examples found, its heaviest terms."""
+    def found(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: cosines and examples of its neighbours, without examples of the same text; its heaviest terms."""
         doc, term, n = counts_of(texts, self.known, self.plus)
         weight = self.weigh(doc, term, n, len(texts))
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-        x, y = self.knots
         skip = [self.copies.get(digest(t), ()) for t in texts]
         for i, (cosines, found) in enumerate(self.index.nearest(doc, term, weight, len(texts), self.k, skip)):
+            own = slice(cuts[i], cuts[i + 1])
+            yield cosines, found, term[own][np.argsort(-weight[own], kind="stable")[:5]]
+
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: score, and what is found."""
+        x, y = self.knots
+        for cosines, found, heaviest in self.found(texts):
             raw = self.vote(cosines, found)
-            heaviest = slice(cuts[i], cuts[i + 1])
             # a hundredth of the raw vote keeps the order within a pooled block
-            yield min(1.0, max(0.0, 0.99 * float(np.interp(raw, x, y)) + 0.01 * raw)), cosines, found, term[heaviest][np.argsort(-weight[heaviest], kind="stable")[:5]]
+            yield min(1.0, max(0.0, 0.99 * float(np.interp(raw, x, y)) + 0.01 * raw)), cosines, found, heaviest
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> DataFrame:
@@ -421,10 +418,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K
     n = rows.count()
 
     def make():
-        return lambda batch: {"id": batch.column("id"), "vote": shared.value().votes_of_examples(np.array(batch.column("id"))), "label": shared.value().labels[np.array(batch.column("id"))]}
+        return lambda batch: {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "vote": [shared.value().vote(c, f) for c, f, _ in shared.value().found(batch.column("text").to_pylist())]}
 
     parts = max(1, min(n // 256, 2 * spark.sparkContext.defaultParallelism))
-    votes = sorted(tuple(r) for r in map_batches(spark.range(0, n, 1, parts), make, "id long, vote double, label long").collect())  # a row an example
+    votes = sorted(tuple(r) for r in map_batches(rows.repartition(parts), make, "doc_id long, vote double, toxic int").collect())  # a row an example
     terms.held.destroy()
     known_df.destroy()
     unstage(rows)
