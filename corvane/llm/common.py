@@ -51,6 +51,18 @@ def unstage(*staged: DataFrame) -> None:
             delete(df.sparkSession, folder.rsplit("/", 1)[0])
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """What a Python worker keeps for its next tasks: the last large thing alone, so that an operator's model or memo does
+    not stay beside the next operator's."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def words_of(text: Column | str) -> Column:
     """Number of white-space separated words; null has none."""
     text = F.col(text) if isinstance(text, str) else text

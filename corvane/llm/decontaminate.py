@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, table, unstage
+from .common import kept, map_batches, stage, table, unstage
 
 WINDOW = 10
 #: Of normalised windows held by one automaton; about 40 times that in memory at the very most.
@@ -110,20 +110,11 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, runs array<int>, spans array<int>"
-_SCANNERS: dict[str, Scanner] = {}
-
-
-def kept_scanner(key: str, shared) -> Scanner:
-    """A broadcast block's scanner in a Python worker, which keeps the last one it has built."""
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(shared.value)
-    return _SCANNERS[key]
 
 
 def _scanner_of(spark: SparkSession, block: dict[bytes, dict]) -> tuple[Broadcast, Callable[[], Scanner]]:
     shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-    return shared, lambda: kept_scanner(key, shared)
+    return shared, lambda: kept(key, lambda: Scanner(shared.value))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, map_batches, table, work_dir
+from .common import delete, kept, map_batches, table, work_dir
 
 END = 0
 LEAST, MOST, SPAN, TOP_BITS = 64, 4096, 8, 9
@@ -223,14 +223,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One in each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 # ---- cutting --------------------------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, stage, table, unstage
+from .common import kept, map_batches, slices, stage, table, unstage
 from .decontaminate import FOLD
 from .token_store import _spread
 
@@ -335,21 +335,14 @@ def _built(examples: DataFrame, build: Callable[[list, list, np.ndarray], object
     return b"".join(bytes(r["data"]) for r in sorted(parts, key=lambda r: r["at"])) or None
 
 
-_UNPACKED: dict[str, object] = {}
-
-
 class Shared:
-    """Something packed, broadcast; each Python worker unpacks it once and keeps the last few."""
+    """Something packed, broadcast; each Python worker unpacks it once."""
 
     def __init__(self, spark: SparkSession, packed: bytes):
         self.key, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(packed)
 
     def value(self):
-        if self.key not in _UNPACKED:
-            while len(_UNPACKED) > 1:
-                _UNPACKED.pop(next(iter(_UNPACKED)))
-            _UNPACKED[self.key] = pickle.loads(zstandard.decompress(self.held.value))
-        return _UNPACKED[self.key]
+        return kept(self.key, lambda: pickle.loads(zstandard.decompress(self.held.value)))
 
 
 class Fitted(NamedTuple):
