@@ -45,7 +45,7 @@ from .common import kept, map_batches, slices, stage, table, unstage
 from .decontaminate import FOLD
 from .token_store import _spread
 
-EXAMPLES, EXAMPLE_BYTES, K, BLOCK = 4_000, 64 << 20, 25, 64
+EXAMPLES, EXAMPLE_BYTES, K, BLOCK = 4_000, 64 << 20, 25, 256
 STEMS = (5,)
 REPEATED = 3
 #: Relevance of a term that tells nothing, and the log-likelihood ratio at which relevance is a half.
@@ -218,11 +218,11 @@ class Index:
         out = np.flatnonzero(np.isin(self.order, skip)) if len(skip) else None
         if out is not None:
             scores[out] = 0
-        start = self.term_start[terms]
-        sizes = self.term_start[terms + 1] - start
+        start = self.term_start.take(terms)
+        sizes = self.term_start.take(terms + 1) - start
         entries, w = _spread(start, sizes), np.repeat(weights, sizes)
-        block = self.entry_block[entries]
-        bounds = scores.reshape(-1, self.block).max(axis=1) + np.bincount(block, weights=w * self.entry_most[entries], minlength=self.blocks)
+        block = self.entry_block.take(entries)
+        bounds = scores.reshape(-1, self.block).max(axis=1) + np.bincount(block, weights=w * self.entry_most.take(entries), minlength=self.blocks)
         seen = np.zeros(self.blocks, bool)
         least = np.partition(scores, -k)[-k] if self.n > k else 0.0
         for most in (1 + 2 * k // self.block, self.blocks):
@@ -230,12 +230,12 @@ class Index:
             if most < todo.sum():
                 todo[np.argsort(np.where(todo, -bounds, 1), kind="stable")[most:]] = False
             seen |= todo
-            some = np.flatnonzero(todo[block])
+            some = np.flatnonzero(todo.take(block))
             if len(some):
-                e = entries[some]
-                size = self.entry_size[e]
-                postings = _spread(self.entry_start[e], size)
-                scores += np.bincount(self.at[postings], weights=np.repeat(w[some], size) * self.weight[postings], minlength=len(scores))
+                e = entries.take(some)
+                size = self.entry_size.take(e)
+                postings = _spread(self.entry_start.take(e), size)
+                scores += np.bincount(self.at.take(postings), weights=np.repeat(w.take(some), size) * self.weight.take(postings), minlength=len(scores))
                 if out is not None:
                     scores[out] = 0
                 least = np.partition(scores, -k)[-k] if self.n > k else 0.0
