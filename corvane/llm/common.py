@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -54,11 +56,25 @@ def unstage(*staged: DataFrame) -> None:
 _KEPT: dict[str, object] = {}
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the machine: allocators keep it, and an executor has several
+    workers beside its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """For tasks that need nothing kept: free what an earlier operator left in this worker."""
+    _KEPT.clear()
+    trim()
+
+
 def kept(key: str, make: Callable[[], object]):
     """What a Python worker keeps for its next tasks: the last large thing alone, so that an operator's model or memo does
     not stay beside the next operator's."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -87,6 +103,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 got = f(part)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) if not isinstance(got[x.name], pa.Array) else got[x.name].cast(x.type) for x in out], schema=out)
+        trim()
 
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 4000:

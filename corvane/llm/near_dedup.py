@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, fresh, map_batches, stage, table, unstage, work_dir
+from .common import delete, forget, fresh, map_batches, stage, table, unstage, work_dir
 from .token_store import mix64
 
 SHINGLE, SHARE = 5, 85
@@ -291,6 +291,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _first_pass(docs: DataFrame, share: int) -> DataFrame:
     def make():
+        forget()
+
         def run(batch: pa.RecordBatch) -> dict:
             sets = shingle_sets(batch.column("text").to_pylist())
             names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -312,6 +314,8 @@ def _first_pass(docs: DataFrame, share: int) -> DataFrame:
 
 def _sketched(texts: DataFrame, share: int) -> DataFrame:
     def make():
+        forget()
+
         def run(batch: pa.RecordBatch) -> dict:
             sets = shingle_sets(batch.column("text").to_pylist())
             return {"node": batch.column("node"), "text": batch.column("text"), "n": [len(s) for s in sets], "odd": [odd_sketch(minhashes(s, share)) for s in sets], "whole": [set_sketch(s) for s in sets]}

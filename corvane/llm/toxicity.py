@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches, slices, stage, table, unstage
+from .common import kept, map_batches, slices, stage, table, trim, unstage
 from .decontaminate import FOLD
 from .token_store import _spread
 
@@ -52,7 +52,7 @@ REPEATED = 3
 PLAIN, TELLING = 0.1, 20.0
 CHUNK, PART = 1 << 14, 4 << 20
 #: Terms whose weights stand in a full table, and queries multiplied by it at a time.
-DENSE, QUERIES = 1536, 256
+DENSE, QUERIES = 768, 256
 _STAR, _PLUS, _NONE = (pa.scalar(x, pa.large_string()) for x in ("*", "+", ""))
 
 
@@ -328,6 +328,8 @@ def _built(examples: DataFrame, build: Callable[[list, list, np.ndarray], object
         if rows is not None:
             made = build(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), np.array(rows.column("toxic"), dtype=np.int64))
             packed = zstandard.compress(pickle.dumps(made, protocol=5), 1)
+            del rows, made
+            trim()
             for i in range(0, len(packed), PART):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([packed[i : i + PART]], pa.binary())], names=["at", "data"])
 
@@ -382,6 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K
                 _, term, _ = counts_of(part.column("text").to_pylist(), known, plus)
                 df += np.bincount(term, minlength=len(known))
                 n += part.num_rows
+        trim()
         if n:
             for at in range(0, len(df) or 1, CHUNK):
                 some = df[at : at + CHUNK]
@@ -457,6 +460,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFra
             for part in slices(batch):
                 scores = [s for s, *_ in model.score(part.column("text").to_pylist())] if model else [0.0] * part.num_rows
                 yield part.filter(pa.array([s < most for s in scores], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
