@@ -64,6 +64,13 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Broadcasts and shuffles of ended jobs are dropped by Spark's cleaner only after the driver's JVM has collected its heap,
+    by default every half hour. After many small jobs, or a large result, have it collected now; give Python's back too."""
+    spark._jvm.System.gc()
+    trim()
+
+
 def forget() -> None:
     """For tasks that need nothing kept: free what an earlier operator left in this worker."""
     _KEPT.clear()

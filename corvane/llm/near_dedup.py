@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, forget, fresh, map_batches, stage, table, unstage, work_dir
+from .common import collect_garbage, delete, forget, fresh, map_batches, stage, table, unstage, work_dir
 from .token_store import mix64
 
 SHINGLE, SHARE = 5, 85
@@ -444,6 +444,7 @@ def classes(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
         rest = stage(state.apart(candidates.select("a", "b").join(best, ["a", "b"], "left_anti")), "rest")
         if rest.limit(1).count():
             state.judge(rest)
+    collect_garbage(spark)
     _rounds(members.where("m > 2").select("key", "node"), sketches, state, often)
     named = nodes.join(state.labels, "node", "left").select("name", "least", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -495,6 +496,7 @@ def _rounds(members: DataFrame, sketches: DataFrame, state: _Links, often: int)
             history = stage(history.unionByName(verdict.where("NOT ok").select("a", "b")), "history")
         refuted = stage(refuted.unionByName(proposed.join(history, ["a", "b"], "left_semi").select("key", "a", "b")), "refuted")
         tried += 1
+        collect_garbage(spark)
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:

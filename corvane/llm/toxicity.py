@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches, slices, stage, table, trim, unstage
+from .common import collect_garbage, kept, map_batches, slices, stage, table, trim, unstage
 from .decontaminate import FOLD
 from .token_store import _spread
 
@@ -421,6 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K
     terms.held.destroy()
     known_df.destroy()
     unstage(rows)
+    collect_garbage(spark)
     return Fitted(shared, isotonic(np.array([v for _, v, _ in votes]), np.array([float(y) for _, _, y in votes])))
 
 
