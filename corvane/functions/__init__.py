@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 
 def ieee_divide(x: Column, y: Column, divisor: float | int | None = None) -> Column:
-    """x / y as doubles: x / 0 is infinite with the sign of x, 0 / 0 and NaN / 0 are NaN. divisor: y, if it is a literal.
+    """x / y as doubles: x / 0 is infinite with the product of both signs (a zero has one too), 0 / 0 and NaN / 0 are NaN.
+    divisor: y, if it is a literal.
 
-    Spark would raise an error; the sign of a zero divisor is not seen, as Spark has only one zero."""
+    Spark would raise an error, and compares both zeros as equal; 1 / y by pow has the sign of a zero."""
     x, y = x.cast("double"), y.cast("double")
     if divisor:
         return x / y
-    by_zero = F.when(x.isNull(), None).when(F.isnan(x) | (x == 0), float("nan")).otherwise(F.signum(x) * float("inf"))
-    return F.when(y == 0, by_zero).otherwise(F.try_divide(x, y))
+    return F.when(y == 0, F.signum(x) * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y))
 
 
 def all_present(columns: Iterable[Column]) -> Column | None:

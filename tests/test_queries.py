@@ -1,6 +1,9 @@
 """The driver's core queries against DuckDB."""
 
+import itertools
+
 import duckdb
+import pandas as pd
 import pytest
 
 from corvane import queries as core
@@ -27,6 +30,18 @@ def test_same_as_duckdb(spark, duck, name):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_division_as_in_duckdb_for_odd_doubles(spark, tmp_path):
+    odd = ["0", "-0", "1", "-1", "3.7", "-3.7", "nan", "inf", "-inf", "1e308", "-1e308", "5e-324", "-5e-324", None]
+    frame = pd.DataFrame([(i, 1, x, y) for i, (x, y) in enumerate(itertools.product(odd, odd))], columns=["l_orderkey", "l_linenumber", "l_quantity", "l_tax"])
+    c = duckdb.connect()
+    c.register("frame", frame.astype({"l_linenumber": "int32"}))
+    c.execute(f"COPY (SELECT * REPLACE (l_quantity::DOUBLE AS l_quantity, l_tax::DOUBLE AS l_tax) FROM frame) TO '{tmp_path}/lineitem.parquet'")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert c.execute("SELECT COUNT(*) FROM lineitem WHERE 1 / l_tax = '-inf'::DOUBLE").fetchone()[0] >= len(odd)
+    want = c.execute(core.oracle_sql()["div_zero"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in core.queries()["div_zero"](spark, str(tmp_path)).collect())
+
+
 def test_join_int_double_takes_all_of_lineitem(spark, duck):
     pairs = duck.execute("SELECT COUNT(*) FROM lineitem JOIN nation ON l_quantity = n_nationkey").fetchone()[0]
     assert core.queries()["join_int_double"](spark, SF).count() == pairs > 1000
