@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +65,29 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_driver(spark: SparkSession) -> str:
+    """Give memory that the driver's JVM has freed outside its heap back to the machine, as jcmd's System.trim_native_heap does:
+    each of the threads that plan, compile and broadcast many small jobs leaves some in its allocator. Returns what the JVM
+    says; nothing where it lacks the command."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    given = gateway.new_array(jvm.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = gateway.new_array(jvm.Object, 1), gateway.new_array(jvm.String, 1)
+    given[2][0], given[3][0] = gateway.new_array(jvm.String, 0), "[Ljava.lang.String;"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    try:
+        return str(call.invoke(server, given))
+    except Py4JError:
+        return ""
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Broadcasts and shuffles of ended jobs are dropped by Spark's cleaner only after the driver's JVM has collected its heap,
-    by default every half hour. After many small jobs, or a large result, have it collected now; give Python's back too."""
+    by default every half hour. After many small jobs, or a large result, have it collected now; give what the JVM and Python
+    have freed outside it back too."""
     spark._jvm.System.gc()
+    trim_driver(spark)
     trim()
 
 
